@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeweave.llm import packing, token_files
+from lodeweave.llm import media, packing, pii, quality_model, quality_rules, token_files
+from lodeweave.session import ship
+
+#: Stands for the secret that a deployment keeps; replacements can't be linked to entities without it.
+PII_KEY = "lodeweave-demo-key"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _query(fn: Callable) -> Callable:
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -27,11 +36,41 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op1_media(spark, sf_dir):
+    return media.text_media(_table(spark, sf_dir, "documents")).drop("tile")
+
+
 @_query
 def op3_token_files(spark, sf_dir):
     return token_files.token_table(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+@_query
+def op4_pii(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = [F.size(F.filter("pii_kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    replaced = pii.replace_entities(docs, key=PII_KEY)
+    return replaced.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), *counts)
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@_query
+def op5_quality_classifier(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(_remainder(5) != 0)
+    scored = quality_model.classify(_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op6_quality_rules(spark, sf_dir):
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
 @_query
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
