@@ -37,3 +37,21 @@ def build_session(master: str | None = None, name: str = "lodeweave", **conf: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by path through Spark so any Hadoop store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per context, so Python functions can import it there."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_lodeweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="lodeweave-code-")) / "lodeweave_code.zip"  # the driver serves it from here
+    with zipfile.ZipFile(bundle, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent).as_posix())
+    context.addPyFile(str(bundle))
+    context._lodeweave_shipped = True
