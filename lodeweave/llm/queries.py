@@ -49,7 +49,8 @@ def op3_token_files(spark, sf_dir):
 @_query
 def op4_pii(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = [F.size(F.filter("pii_kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    counted = lambda kind: F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    counts = [counted(kind) for kind in pii.PATTERNS]
     replaced = pii.replace_entities(docs, key=PII_KEY)
     return replaced.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), *counts)
 
