@@ -10,14 +10,18 @@ pieces (runs of blanks, tabs, other white space) go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
-import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_WS = re.compile(r"\s")
+#: White space other than the blank and the line feed.
+_ODD = "[\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Punctuation that, behind letters, is a pre-token of its own.
+_MARKS = ".,;:!?#$%&*()-"
 
 
 class PieceEncoder:
@@ -38,6 +42,13 @@ class PieceEncoder:
         self.spaced = spaced
         special = [(t.content, i) for i, t in self.split.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1]
+        plan = json.loads(self.plain.to_str())
+        plan["normalizer"] = None
+        self.running = Tokenizer.from_str(json.dumps(plan))  # for text that is its own normal form
+        self.running.encode_special_tokens = True
+        vocabulary = self.plain.get_vocab()
+        self.bounds = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.bounds[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
         self.memo: dict[str, int] = {}  # piece -> its place among the remembered pieces
         self.pool, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.memo_entries = memo_entries
@@ -47,21 +58,26 @@ class PieceEncoder:
 
         Pieces not met before go to the library as one text with a special token between.
         """
-        place = np.fromiter((self.memo.get(p, -1) for p in pieces), np.int64, len(pieces))
+        place = np.array(list(map(self.memo.get, pieces, repeat(-1))), np.int64)
         missing = np.flatnonzero(place < 0).tolist()
+        new = [pieces[i] for i in missing]
+        turns = self._turns(new)
+        order = np.argsort(turns == 0, kind="stable")  # those with known turns first
+        known_turns = int(np.count_nonzero(turns))
+        missing = [missing[i] for i in order.tolist()]
+        new = [new[i] for i in order.tolist()]
+        turns = turns[order]
         flat, sizes = [], []
-        for at in range(0, len(missing), 4096):
-            part = [pieces[i] for i in missing[at : at + 4096]]
-            text = self.mark.join(part)
-            if text.count("<|") == len(part) - 1:
-                ids = np.asarray(self.split.encode(text, add_special_tokens=False).ids, np.uint32)
-                ends = np.concatenate((np.flatnonzero(ids == self.mark_id), [len(ids)]))
-                sizes.append(np.diff(ends, prepend=-1) - 1)
-                flat.append(ids[ids != self.mark_id])
-            else:  # a piece holds the text of a special token
-                each = [self.encode_whole(p) for p in part]
-                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-                flat.append(np.concatenate(each))
+        for at in range(0, len(new), 4096):
+            part = new[at : min(at + 4096, known_turns if at < known_turns else len(new))]
+            done = self._by_turns(part, turns[at : at + len(part)]) if at < known_turns else None
+            ids, size = done or self._by_marks(part)
+            flat.append(ids)
+            sizes.append(size)
+            if at < known_turns < at + 4096:  # the rest of this stride has no known turns
+                ids, size = self._by_marks(new[known_turns : at + 4096])
+                flat.append(ids)
+                sizes.append(size)
         size = np.concatenate([self.size, *sizes])
         pool = np.concatenate([self.pool, *flat])
         begin = np.cumsum(size) - size
@@ -69,18 +85,61 @@ class PieceEncoder:
         place[missing] = np.arange(known, known + len(missing))
         keep = max(0, min(self.memo_entries - known, len(missing)))
         if keep:
-            self.memo.update(zip([pieces[i] for i in missing[:keep]], range(known, known + keep)))
+            self.memo.update(zip(new[:keep], range(known, known + keep)))
             self.size = size[: known + keep]
             self.pool = pool[: self.size.sum()].copy()
         return pool, begin[place], size[place]
 
+    def _turns(self, pieces: list[str]) -> np.ndarray:
+        """Tokens that bound a pre-token which each piece has for certain; 0 where that takes the library to say.
+
+        With blanks kept, such tokens begin with one, and a piece that begins with
+        a blank and holds no other white space has one. With blanks dropped, they
+        end a pre-token: one for letters, two for letters and then punctuation.
+        """
+        if self.spaced:
+            return np.fromiter((p[0] == " " and p != " " and "<|" not in p and "\n" not in p for p in pieces), np.int64, len(pieces))
+        out = np.zeros(len(pieces), np.int64)
+        for i, p in enumerate(pieces):
+            if not p.isascii() and (p != p.lower() or max(p) >= "\u0250"):
+                continue  # the normalizer, which running text goes without, would have something to do
+            if p.isalpha():
+                out[i] = 1
+            elif p[-1:] in _MARKS and p.rstrip(_MARKS).isalpha():
+                out[i] = 2
+        return out
+
+    def _by_turns(self, pieces: list[str], turns: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and sizes of pieces encoded as one running text, cut at the tokens that bound pre-tokens."""
+        text = ("" if self.spaced else " ").join(pieces)
+        ids = np.asarray(self.running.encode(text, add_special_tokens=False).ids, np.uint32)
+        at = np.flatnonzero(self.bounds[ids])
+        if len(at) != turns.sum():
+            return None
+        if self.spaced:
+            return ids, np.diff(at, append=len(ids))
+        return ids, np.diff(at[np.cumsum(turns) - 1], prepend=-1)
+
+    def _by_marks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces encoded as one text with a special token between."""
+        text = self.mark.join(pieces)
+        if text.count("<|") != len(pieces) - 1:  # a piece holds the text of a special token
+            each = [self.encode_whole(p) for p in pieces]
+            return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.asarray(self.split.encode(text, add_special_tokens=False).ids, np.uint32)
+        ends = np.concatenate((np.flatnonzero(ids == self.mark_id), [len(ids)]))
+        return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
+
     def encode_whole(self, text: str) -> np.ndarray:
         return np.asarray(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, and the offsets of each text in them. A null text has no ids."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        lines = pc.replace_substring(texts, "\n", " \n " if self.spaced else " ")
+        if self.spaced:
+            lines = pc.replace_substring(texts, "\n", " \n ")
+        else:  # lower case is the normalizer's, and fewer pieces differ
+            lines = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
         parts = pc.split_pattern(lines, " ")
         starts = np.asarray(parts.offsets)
         starts = starts - starts[0]
@@ -89,17 +148,20 @@ class PieceEncoder:
         n = len(texts)
         whole = np.zeros(n, bool)
         if self.spaced:
-            bad = np.fromiter((not w or (w != "\n" and _WS.search(w) is not None) for w in words), bool, len(words))
+            bad = np.asarray(pc.or_(pc.match_substring_regex(coded.dictionary, _ODD), pc.equal(coded.dictionary, "")))
             rows = np.repeat(np.arange(n), np.diff(starts))
             whole[rows[bad[index]]] = True
-            newline = np.fromiter((w == "\n" for w in words), bool, len(words))[index]
+            newline = np.asarray(pc.equal(coded.dictionary, "\n"))[index]
             blank = np.ones(len(index), bool)
             blank[starts[:-1][np.diff(starts) > 0]] = False
             blank[1:] &= ~newline[:-1]
             blank &= ~newline
             blank &= ~whole[rows]
             key = index.astype(np.int64) * 2 + blank
-            used, index = np.unique(key[~whole[rows]], return_inverse=True)
+            key = key[~whole[rows]]
+            seen = np.zeros(2 * len(words), bool)
+            seen[key] = True
+            used, index = np.flatnonzero(seen), (np.cumsum(seen) - 1)[key]
             words = [" " + words[k >> 1] if k & 1 else words[k >> 1] for k in used.tolist()]
             counts = np.diff(starts)
             counts[whole] = 0
@@ -107,7 +169,8 @@ class PieceEncoder:
         flat, begin, size = self._encode_pieces(words)
         each = size[index]
         ends = np.concatenate(([0], np.cumsum(each)))
-        out = flat[np.arange(ends[-1]) + np.repeat(begin[index] - ends[:-1], each)] if len(index) else flat[:0]
+        narrow = np.int32 if max(len(flat), int(ends[-1])) < 2**31 else np.int64
+        out = flat[np.arange(ends[-1], dtype=narrow) + np.repeat((begin[index] - ends[:-1]).astype(narrow), each)] if len(index) else flat[:0]
         offsets = ends[starts]
         if whole.any():
             pieces, sizes = [], np.diff(offsets)
