@@ -199,7 +199,7 @@ def pack(items: DataFrame, capacity: int, block_items: int = 8192, islands: int
     for number in range(epochs):
         elites = materialize(_epoch(state.repartition(n, "block", "island"), number, capacity, population, generations, seed), "pack-elites")
         came = elites.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("migrant"))
-        state = homes.join(elites.select("block", "island", "elite"), ["block", "island"]).join(came, ["block", "island"])
+        state = homes.join(elites.select("block", "island", "elite").hint("merge"), ["block", "island"]).join(came.hint("merge"), ["block", "island"])
         state = state.withColumn("seeds", F.array("elite", "migrant"))
     best = elites.groupBy("block").agg(F.max_by("elite", F.struct(-F.col("n_bins"), "score", -F.col("island"))).alias("elite"))
 
@@ -218,7 +218,7 @@ def pack(items: DataFrame, capacity: int, block_items: int = 8192, islands: int
 
     placed = best.mapInArrow(places, "block_ long, length long, turn_ long, sequence_id long, offset long")
     turn = F.row_number().over(Window.partitionBy("block_", "length").orderBy("uid_")).cast("long") - 1
-    packed = rest.withColumn("turn_", turn).join(placed, ["block_", "length", "turn_"]).select(*columns, "sequence_id", "offset")
+    packed = rest.withColumn("turn_", turn).join(placed.hint("merge"), ["block_", "length", "turn_"]).select(*columns, "sequence_id", "offset")
     return packed.unionByName(full)
 
 
