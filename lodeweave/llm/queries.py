@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import media, mixing, packing, pii, quality_model, quality_rules, token_files
+from lodeweave.llm import html_text, media, mixing, packing, pii, quality_model, quality_rules, token_files, toxicity
 from lodeweave.session import ship
 
 #: Stands for the secret that a deployment keeps; replacements can't be linked to entities without it.
@@ -72,6 +72,11 @@ def op6_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+@_query
+def op7_html_text(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op8_mixing(spark, sf_dir):
     return mixing.taken(_table(spark, sf_dir, "documents"))
@@ -80,3 +85,10 @@ def op8_mixing(spark, sf_dir):
 @_query
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+@_query
+def op10_toxicity(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(_remainder(4) != 2)
+    scored = toxicity.classify(_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
