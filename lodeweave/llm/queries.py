@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import html_text, media, mixing, packing, pii, quality_model, quality_rules, token_files, toxicity
+from lodeweave.llm import html_text, jaccard, media, mixing, packing, pii, quality_model, quality_rules, token_files, toxicity
 from lodeweave.session import ship
 
 #: Stands for the secret that a deployment keeps; replacements can't be linked to entities without it.
@@ -41,6 +41,11 @@ def op1_media(spark, sf_dir):
     return media.text_media(_table(spark, sf_dir, "documents")).drop("tile")
 
 
+@_query
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_token_files(spark, sf_dir):
     return token_files.token_table(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
