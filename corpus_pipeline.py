@@ -1,11 +1,83 @@
-"""Corpus pipeline: placeholder stages list, filled in as the operators land."""
+"""Corpus pipeline: quality filter, near-duplicate removal, PII surrogates, source mix, packing.
 
+``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir)
+and returns a DataFrame. ``run`` writes each stage's result to the shared folder
+and gives the next stage what was written. Repeated rows and ids are handled as
+each operator's docstring says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeweave.llm import jaccard, mixing, packing, pii, quality_model
+from lodeweave.llm.queries import PII_KEY, vocabulary
+from lodeweave.llm.storage import materialize
+from lodeweave.session import ship
+
+#: No SQL states a fitted classifier, a seeded draw or a genetic packing; tests compare with plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be of label 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    labels = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    return scored.where(F.col("score") >= 0.3).select("row.*")
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of 75 percent Jaccard similarity on five-word shingles: its smallest doc_id.
+
+    Wordless texts are in no component and stay. Rows alike in id and text become
+    one; an id that names several texts stays if it is the smallest for one of them.
+    """
+    found = jaccard.join(docs).where("n_shingles > 0 and doc_id is not null")
+    seen = found.groupBy("doc_id").agg(F.max("component_id").alias("first"), F.count("*").alias("rows_")).withColumnRenamed("doc_id", "seen_id_")
+    seen = materialize(seen.where("first < seen_id_ or rows_ > 1"), "seen")  # far fewer ids than stay
+    same = F.col("doc_id") == F.col("seen_id_")
+    left = docs.join(seen.where("first < seen_id_"), same, "left_anti")
+    twice = seen.where("first = seen_id_")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(once)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities replaced by surrogates; n_chars follows the new text."""
+    columns = docs.columns
+    replaced = pii.replace_entities(docs, key=PII_KEY)
+    return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    plan = mixing.Mix(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return plan.draw(rows).select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and offset."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("jaccard_join", deduplicate),
+    ("pii", private),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the result of the last."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
