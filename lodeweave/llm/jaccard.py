@@ -56,7 +56,7 @@ def shingles(texts: pa.Array, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct shingle hashes of each text, and a hash of its word sequence (0: no words)."""
     import xxhash
 
-    found = words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    found = words(texts, lower=True)
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found.distinct), np.uint64, len(found.distinct))[found.index]
     ends = np.concatenate(([0], np.cumsum(found.counts())))
     rolled = np.zeros(max(len(hashed) - size + 1, 0), np.uint64)

@@ -1,6 +1,6 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
-Statistics of every whole text are computed once, batch by batch. A Gaussian
+Statistics are of whole texts, computed batch by batch. A Gaussian
 kernel over the standardised statistics is approximated by random cosines; each
 partition of the training rows sums its part of the normal equations, and the
 driver adds at most ``fit_tasks`` of those sums (each ``features + 1`` squared).
@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeweave.llm.storage import materialize
 from lodeweave.llm.words import distinct_per_row, words
@@ -89,19 +90,20 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.column_stack(columns).astype(np.float64)
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
-    """doc_id and ``f``, the statistics of the text, of every row."""
+def _statistics_of(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns and ``f``, the statistics of ``text``, of every row."""
+    fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 rows = batch.slice(at, 4096)
-                f = statistics(rows.column(1))
+                f = statistics(rows.column("text"))
                 values = pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.astype(np.float32).ravel())
-                yield pa.record_batch([rows.column(0), values], ["doc_id", "f"])
+                yield pa.record_batch([*(rows.column(c) for c in keep), values], [*keep, "f"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, f array<float>")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "f array<float>"])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 class FourierRidge:
@@ -146,17 +148,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit(
-    table: DataFrame, labels: DataFrame, max_rows: int = 100_000, fit_tasks: int = 12, features: int = 256, width: float = 1.0, ridge: float = 1e-2, seed: int = 11
+    docs: DataFrame, labels: DataFrame, max_rows: int = 100_000, fit_tasks: int = 12, features: int = 256, width: float = 1.0, ridge: float = 1e-2, seed: int = 11
 ) -> FourierRidge | float:
-    """table: doc_id, f. labels: doc_id, label (0 or 1). ``max_rows`` bounds the rows fitted on, to within sampling error."""
+    """docs: doc_id, text. labels: doc_id, label (0 or 1). ``max_rows`` bounds the ids fitted on, to within sampling error."""
     given = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("double").alias("label"))
     counts = given.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
     if not counts["n"] or counts["share"] in (0.0, 1.0):
         return 0.5 if counts["share"] is None else float(counts["share"])
     share = min(1.0, max_rows / counts["n"])
     sample = given.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = table.join(sample, "doc_id").select("f", "label", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).alias("fold"))
-    rows = materialize(rows.repartition(fit_tasks), "quality-train")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).alias("fold")
+    # at most about max_rows ids go to every task; the texts stay where they are read
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", fold)
+    rows = materialize(_statistics_of(rows, ["label", "fold"]).repartition(fit_tasks), "quality-train")
     size = len(STATISTICS)
     sums = rows.agg(*[F.avg(F.get("f", F.lit(i))).alias(f"m{i}") for i in range(size)], *[F.stddev_pop(F.get("f", F.lit(i))).alias(f"d{i}") for i in range(size)]).first()
     if sums["m0"] is None:
@@ -192,20 +196,22 @@ def fit(
     return model
 
 
-def score(table: DataFrame, model: FourierRidge | float) -> DataFrame:
-    """doc_id and ``score`` of every row of a statistics table."""
+def score(docs: DataFrame, model: FourierRidge | float) -> DataFrame:
+    """Every row of ``docs`` as a struct ``row``, with the ``score`` of its text."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
     if isinstance(model, float):
-        return table.select("doc_id", F.lit(model).alias("score"))
+        return packed.select("row", F.lit(model).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("f"))))], ["doc_id", "score"])
+            for at in range(0, batch.num_rows, 4096):
+                rows = batch.slice(at, 4096)
+                yield pa.record_batch([rows.column("row"), pa.array(model.score(statistics(rows.column("text"))))], ["row", "score"])
 
-    return table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, score double")
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """Fit on ``labels`` (doc_id, label) and score every row of docs (doc_id, text): doc_id, score, predicted."""
-    table = materialize(statistics_table(docs), "quality-statistics")
-    scored = score(table, fit(table, labels, **options))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels, **options))
+    return scored.select("row.doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -48,7 +48,7 @@ def op2_jaccard_join(spark, sf_dir):
 
 @_query
 def op3_token_files(spark, sf_dir):
-    return token_files.token_table(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.token_table(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
 @_query
@@ -89,7 +89,7 @@ def op8_mixing(spark, sf_dir):
 
 @_query
 def op9_packing(spark, sf_dir):
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
 @_query

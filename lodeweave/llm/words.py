@@ -25,10 +25,12 @@ class Words(NamedTuple):
         return np.bincount(self.rows, minlength=self.n_rows)
 
 
-def words(texts: pa.Array) -> Words:
-    """Split at the six ASCII blanks; null texts have no words."""
+def words(texts: pa.Array, lower: bool = False) -> Words:
+    """Split at the six ASCII blanks, A-Z in lower case if asked; null texts have no words."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     flat = pc.replace_substring_regex(texts, "[\t\n\x0b\x0c\r]", " ")
+    if lower:  # of a fresh array: on a slice the kernel may read other bytes
+        flat = pc.ascii_lower(flat)
     parts = pc.split_pattern(flat, " ")
     sizes = np.diff(np.asarray(parts.offsets))
     coded = parts.flatten().dictionary_encode()
