@@ -68,14 +68,10 @@ class PieceEncoder:
         new = [new[i] for i in order.tolist()]
         turns = turns[order]
         flat, sizes = [], []
-        for at in range(0, len(new), 4096):
-            part = new[at : min(at + 4096, known_turns if at < known_turns else len(new))]
-            done = self._by_turns(part, turns[at : at + len(part)]) if at < known_turns else None
-            ids, size = done or self._by_marks(part)
-            flat.append(ids)
-            sizes.append(size)
-            if at < known_turns < at + 4096:  # the rest of this stride has no known turns
-                ids, size = self._by_marks(new[known_turns : at + 4096])
+        for low, high in ((0, known_turns), (known_turns, len(new))):
+            for at in range(low, high, 4096):
+                part = new[at : min(at + 4096, high)]
+                ids, size = (self._by_turns(part, turns[at : at + len(part)]) if low < known_turns else None) or self._by_marks(part)
                 flat.append(ids)
                 sizes.append(size)
         size = np.concatenate([self.size, *sizes])
