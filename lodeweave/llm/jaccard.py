@@ -61,7 +61,7 @@ def shingles(texts: pa.Array, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     ends = np.concatenate(([0], np.cumsum(found.counts())))
     rolled = np.zeros(max(len(hashed) - size + 1, 0), np.uint64)
     for k in range(size):
-        rolled += hashed[k : len(hashed) - size + 1 + k] * _ODD[k % len(_ODD)] * np.uint64(2 * (k // len(_ODD)) + 1)
+        rolled += hashed[k : k + len(rolled)] * _ODD[k % len(_ODD)] * np.uint64(2 * (k // len(_ODD)) + 1)
     rolled = mix(rolled)
     sets, sequence = [], np.zeros(found.n_rows, np.uint64)
     for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):

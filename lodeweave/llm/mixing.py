@@ -95,13 +95,13 @@ class Mix:
 
     def __init__(
         self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        block_words: int = 65_536, max_blocks: int = 65_536, blocks_per_shard: int = 64, seed: int = 23,
+        block_words: int = 65_536, block_rows: int = 256, max_blocks: int = 65_536, blocks_per_shard: int = 64, seed: int = 23,
     ):
         self.spark, self.seed, self.blocks_per_shard = docs.sparkSession, seed, blocks_per_shard
         id_type = docs.schema["doc_id"].dataType
         rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
         self.rows = materialize(rows, "mix-rows")
-        found = self.rows.groupBy("source").agg(F.sum("size").alias("n")).collect()  # a row per source
+        found = self.rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # a row per source
         found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
         sizes = [r["n"] for r in found]
         weight = [float(weights[i % len(weights)]) for i in range(len(found))]
@@ -109,7 +109,7 @@ class Mix:
         plan = []
         for i, (r, n, target) in enumerate(zip(found, sizes, targets)):
             passes = int(target // n) if n else 0
-            plan.append((r["source"], i, n, target, passes, max(0.0, target - passes * n), min(max_blocks, max(1, -(-n // block_words)))))
+            plan.append((r["source"], i, n, target, passes, max(0.0, target - passes * n), max(1, min(max_blocks, -(-n // block_words), r["rows"] // block_rows))))
         self.sources = self.spark.createDataFrame(plan, SOURCES)
         self.n_sources = len(plan)
         self._plan_blocks(id_type.simpleString())

@@ -43,8 +43,8 @@ INSULTS = frozenset(
 )
 ADDRESS = frozenset("you your you're youre du dich dir dein deine ihr tu te toi ton ta vous votre tú ti tus eres usted su".split())
 LISTS = 4
-_LEET = str.maketrans("013457@$!|", "oleastasil")
-_TRIM = re.compile(r"^\W+|\W+$")
+_LEET = str.maketrans("013457@$!|", "oieastasil")
+_TRIM = re.compile(r"^[^\w$@]+|\W+$")
 _TWICE = re.compile(r"(.)\1{2,}")
 
 COUNTS = ["insults", "hidden", *[f"words{i}" for i in range(LISTS)], *[f"stems{i}" for i in range(LISTS)], "near", "shouted", "evidence", "n_words"]
@@ -56,7 +56,12 @@ def bare(word: str) -> str:
 
 def plain(word: str) -> str:
     """A word with digits and signs read as letters and drawn-out letters shortened."""
-    return _TWICE.sub(r"\1", re.sub(r"[.*_-]", "", word.lower()).translate(_LEET))
+    return _TWICE.sub(r"\1", re.sub(r"[._-]", "", word.lower()).translate(_LEET))
+
+
+def masked(word: str) -> bool:
+    """Is this an insult with some inner letters starred out?"""
+    return "*" in word and any(len(w) == len(word) and all(a in ("*", b) for a, b in zip(word, w)) for w in INSULTS)
 
 
 def stems(word: str) -> list[str]:
@@ -91,7 +96,7 @@ class Lexicon:
             address[k] = word in ADDRESS
             known = word in INSULTS
             per[at["insults"], k] = known
-            if not known and not word.isalpha() and plain(raw).strip(".,;:!?\"'") in INSULTS:
+            if not known and not word.isalpha() and (plain(word) in INSULTS or masked(word)):
                 per[at["hidden"], k] = 1
             hit, evidence = known, 0.0
             for s in stems(word):
@@ -182,9 +187,8 @@ class LabelModel:
         self.parents = [-1] * k
         strength = (v == 2).sum(1) - (v == 0).sum(1)
         p = np.where(strength > 0, 0.95, np.where((v == 2).any(1), 0.5, 0.02))
-        for tree in (False, True):
-            if tree:
-                self.parents = self._tree(v, n, p)
+        for _ in range(2):  # the tree first follows the majority of votes, then the posterior
+            self.parents = self._tree(v, n, p)
             for _ in range(self.rounds):
                 self._fit_tables(v, n, p)
                 self.prior = float(np.clip((n * p).sum() / n.sum(), 0.005, 0.6))

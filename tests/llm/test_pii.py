@@ -1,0 +1,92 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodeweave.llm import pii
+
+TEXTS = {
+    "email": ("Write to anna.b-7@mail5.example.com, or ANNA.B-7@MAIL5.EXAMPLE.COM!", r"^Write to [a-z]{4}\.[a-z]-\d@[a-z]{4}\d\.example\.com, or [A-Z]{4}\.[A-Z]-\d@[A-Z]{4}\d\.EXAMPLE\.COM!$"),
+    "phone": ("Call +1 (521) 555-6210 or +15215556210.", r"^Call \+1 \([2-9]\d\d\) \d{3}-\d{4} or \+1[2-9]\d{9}\.$"),
+    "ip": ("from 8.196.197.208###", r"^from \d+\.\d+\.\d+\.\d+###$"),
+    "card": ("pay 4111 1111 1111 1111 or 4111111111111111", r"^pay 4\d{3}( \d{4}){3} or 4\d{15}$"),
+    "secret": ('token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', r'^token = "[0-9a-f]{40}"$'),
+    "ssn": ("ssn 078-05-1120.", r"^ssn \d{3}-\d{2}-\d{4}\.$"),
+    "iban": ("IBAN DE89 3704 0044 0532 0130 00.", r"^IBAN DE\d\d( \d{4}){4} \d\d\.$"),
+    "person": ("Mrs. Anna Smith met Mr Smith and г-жа Иванова.", r"^Mrs\. [A-Z]\w+ [A-Z]\w+ met Mr [A-Z]\w+ and г-жа [А-Я]\w+\.$"),
+}
+
+
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: (r["text"], r["pii_kinds"]) for r in pii.replace_entities(df, key).collect()}
+
+
+def test_every_kind(spark):
+    got = replaced(spark, [t for t, _ in TEXTS.values()])
+    for i, (kind, (old, shape)) in enumerate(TEXTS.items()):
+        new, kinds = got[i]
+        assert set(kinds) == {kind} and re.match(shape, new) and new != old, (kind, new, kinds)
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_coreference_and_check_digits(spark):
+    got = replaced(spark, [t for t, _ in TEXTS.values()])
+    mail = re.findall(r"\S+@\S+[a-zA-Z]", got[0][0])
+    assert mail[0] == mail[1].lower()
+    phones = re.findall(r"\+[\d ()-]+\d", got[1][0])
+    assert len({re.sub(r"\D", "", p) for p in phones}) == 1
+    cards = re.findall(r"\d[\d ]{14,}\d", got[3][0])
+    assert len({re.sub(r"\D", "", c) for c in cards}) == 1 and luhn(re.sub(r"\D", "", cards[0]))
+
+
+def test_gender_and_script(spark):
+    got = replaced(spark, ["Mrs. Anna Smith.", "Mr. Karl Smith.", "г-н Иван Петров."])
+    first = [re.search(r"(?:Mrs\.|Mr\.|г-н) (\w+)", got[i][0])[1] for i in range(3)]
+    assert first[0] in pii.FIRST["latin", "f"] and first[1] in pii.FIRST["latin", "m"] and first[2] in pii.FIRST["cyrillic", "m"]
+
+
+def test_distinct_entities_stay_distinct(spark):
+    """Short addresses have few shapes, so draws must collide; the replacements still differ."""
+    texts = [f"x {a}{b}@q{c}.com y" for a in "abcdefghijklmnop" for b in "0123456789" for c in "12"]
+    got = replaced(spark, texts)
+    new = [got[i][0] for i in range(len(texts))]
+    assert len(set(new)) == len(texts)
+    assert not {re.search(r"\S+@\S+", t)[0] for t in new} & {re.search(r"\S+@\S+", t)[0] for t in texts}
+
+
+def test_key_decides(spark):
+    text = TEXTS["email"][0]
+    one, two, again = (replaced(spark, [text], k)[0][0] for k in ("a", "b", "a"))
+    assert one == again != two
+
+
+@pytest.mark.parametrize("text", ["plain prose", "in 1999 there were 25 of 300", "a@b", "1.2.3", "v1.2.3.4.5", "12345", "@ 7", "Mr. and Mrs. of"])
+def test_clean_texts_stay(spark, text):
+    assert replaced(spark, [text])[0] == (text, [])
+
+
+def test_hard_rows(hard, clashing, empty):
+    with_entities = clashing.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" mail bob@corp.org"))).otherwise(F.col("text")))
+    rows = pii.replace_entities(with_entities, "k").collect()
+    assert len(rows) == hard.count()
+    old = {(r["doc_id"], r["source"], r["text"]) for r in with_entities.collect()}
+    new = set()
+    for r in rows:
+        assert r["score"] == "own"
+        if r["text"] is None or "@" not in r["text"]:
+            assert (r["doc_id"], r["source"], r["text"]) in old
+        else:
+            assert "bob@corp" not in r["text"]
+            new.add(r["text"].rsplit(" ", 1)[1])
+    assert len(new) == 1
+    assert pii.replace_entities(empty, "k").count() == 0
+
+
+def test_native_plan(spark):
+    df = spark.createDataFrame([(1, "call +1 (521) 555-6210")], "doc_id long, text string")
+    plan = pii.replace_entities(df.where("doc_id > 0"), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
