@@ -13,9 +13,9 @@ bound reaches the threshold.
    one leader each, and connected components of the links are the groups.
 3. Each group's token union is one set of matrix rows. Groups whose unions have too
    little in common with other groups are done whole. For a query of the others,
-   candidate groups come from its rarest tokens (enough of them that a partner
-   must share one), the full overlap bounds each, and members of the qualifying
-   groups are compared exactly.
+   candidate groups come from its rarest tokens (enough of them that a partner of
+   its size must show one too), the overlap with the candidate's token union
+   bounds it, and members of the qualifying groups are compared exactly.
 
 Token ids keep 40 bits of the hash beside the bucket, so two shingles of a pair
 are confused with a chance of about one in 2 ** (40 + log2 buckets) per pair of
@@ -28,6 +28,7 @@ empty table gives an empty result. Other columns of the table are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -283,34 +284,110 @@ def _leaders(sets: DataFrame) -> DataFrame:
     return keyed.join(best, ["slot", "key"]).where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
 
 
-def _across(sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between classes of different groups. sets: class, n, tokens, grp."""
+def _across(sets: DataFrame, threshold: int, step: float = 1.04, members: int = 512) -> DataFrame:
+    """Links (a, b) between classes of different groups. sets: class, n, tokens, grp.
+
+    Of a pair, the smaller set asks and the larger one's group offers. Sizes are cut
+    into bands by ``step``; for two bands the least overlap of a link is known, so
+    each side shows as many of its rarest tokens as a link can't avoid, and a pair
+    of classes that shows no common token for its bands is no link. A group's rows
+    of a band show the union of what its classes show.
+    """
+    spark, ratio = sets.sparkSession, threshold / (100 + threshold)
     none = sets.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
     union = materialize(sets.select("grp", F.explode("tokens").alias("token")).distinct(), "matrix")
-    common = union.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    matrix = materialize(union.join(common.hint("merge"), "token"), "matrix-common")
+    common = union.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     smallest = sets.groupBy("grp").agg(F.min("n").alias("smallest"))
-    able = matrix.groupBy("grp").agg(F.count("*").alias("met")).join(smallest, "grp").where(F.col("met") >= _least(F.col("smallest"), threshold)).select("grp")
-    able = materialize(able, "able-groups")
+    met = union.join(common.hint("merge"), "token").groupBy("grp").agg(F.count("*").alias("met"))
+    able = materialize(met.join(smallest, "grp").where(F.col("met") >= _least(F.col("smallest"), threshold)).select("grp"), "able-groups")
     if able.isEmpty():
         return none
-    matrix = matrix.join(able, "grp", "left_semi")
-    queries = sets.join(able, "grp", "left_semi").select("class", "grp", "n", F.explode("tokens").alias("token"))
-    queries = queries.join(matrix.select("token", "groups").distinct().hint("merge"), "token")
-    enough = queries.groupBy("class").agg(F.count("*").alias("met"), F.first("n").alias("n_")).where(F.col("met") >= _least(F.col("n_"), threshold)).select("class", "met")
-    queries = materialize(queries.join(enough, "class"), "queries")
-    if queries.isEmpty():
-        return none
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("groups", "token"))
-    rare = queries.withColumn("rank", rank).where(F.col("rank") <= F.col("met") - _least(F.col("n"), threshold) + 1)
-    held = matrix.select("token", F.col("grp").alias("other"))
-    asked = rare.select("class", "grp", "token").join(held.hint("merge"), "token").where("grp <> other").select("class", "other").distinct()
-    bound = queries.select("class", "n", "token").join(asked.hint("merge"), "class").join(held.hint("merge"), ["token", "other"])
-    bound = bound.groupBy("class", "other").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= _least(F.col("n"), threshold))
-    members = queries.select(F.col("grp").alias("other"), F.col("class").alias("member")).distinct()
-    pairs = bound.select("class", "other").join(members.hint("merge"), "other")
-    pairs = pairs.select(F.least("class", "member").alias("a"), F.greatest("class", "member").alias("b")).distinct()
-    return _linked(pairs, sets, threshold)
+    rarity = union.join(able, "grp", "left_semi").groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    band = F.floor(F.log(F.col("n")) / math.log(step) + 1e-9).cast("int")
+    open_ = sets.join(able, "grp", "left_semi").withColumn("band", band)
+    rows = open_.select("class", "grp", "n", "band", F.explode("tokens").alias("token")).join(rarity.hint("merge"), "token")
+    own = Window.partitionBy("class")
+    rows = rows.withColumn("met", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("groups", "token")))
+    least = _least(F.col("n"), threshold)
+    shown = rows.where((F.col("met") >= least) & (F.col("rank") <= F.col("met") - least + 1)).drop("groups")
+    shown = materialize(shown, "shown")
+
+    low = lambda b: F.ceil(F.pow(F.lit(step), b) - 1e-6)  # noqa: E731  smallest size of a band
+    need = lambda m: F.ceil((F.col("n") + m) * ratio - 1e-6)  # noqa: E731  least overlap with a set of m
+    apart = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(math.log(100 / threshold) / math.log(step)) + 1))).alias("apart")
+    asks = shown.select("*", apart).withColumn("larger", F.col("band") + F.col("apart"))
+    asks = asks.where(F.col("rank") <= F.col("met") - need(F.greatest(low(F.col("larger")), F.col("n"))) + 1)
+    asks = asks.select("class", F.col("grp").alias("asker"), "token", F.col("band").alias("smaller"), "larger")
+    offers = shown.select("*", apart).withColumn("smaller", F.col("band") - F.col("apart"))
+    offers = offers.where(F.col("rank") <= F.col("met") - need(low(F.col("smaller"))) + 1)
+    offers = offers.select("token", "smaller", F.col("band").alias("larger"), "grp").distinct()
+    asked = asks.join(offers.hint("merge"), ["token", "smaller", "larger"]).where("asker <> grp").select("class", "grp", "larger").distinct()
+    asked = materialize(asked, "asked")
+
+    held = open_.join(asked.select("grp", F.col("larger").alias("band")).distinct(), ["grp", "band"], "left_semi")
+    sizes = held.groupBy("grp", "band").agg(F.ceil(F.count("*") / F.lit(members)).cast("int").alias("chunks"))
+    held = held.join(sizes, ["grp", "band"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    held = held.select("grp", "band", "chunk", F.lit(0).alias("side"), "class", "n", "tokens")
+    asking = asked.withColumnRenamed("larger", "band").join(sizes, ["grp", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asking = asking.select("grp", "band", "chunk", F.lit(1).alias("side"), "class").join(sets.select("class", "n", "tokens").hint("merge"), "class")
+    both = held.unionByName(asking).repartition(partitions(spark), "grp", "band", "chunk").sortWithinPartitions("grp", "band", "chunk", "side")
+    return both.mapInArrow(_open(threshold), "a long, b long")
+
+
+class _Group:
+    """One chunk of a group's members: its token union, and which members have each token."""
+
+    def __init__(self, classes: list[int], sizes: list[int], sets: list[np.ndarray]):
+        self.classes, self.sizes = classes, np.array(sizes, np.int64)
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(token, kind="stable")
+        self.owner = owner[order]
+        self.union, begin = np.unique(token[order], return_index=True)
+        self.begin = np.append(begin, len(token))
+
+    def link(self, n: int, tokens: np.ndarray, threshold: int) -> int | None:
+        """A member that links with the query, if the bound lets the group be opened and one does."""
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        at = at[self.union[at] == tokens]
+        if (100 + threshold) * len(at) < threshold * (n + int(self.sizes.min())):
+            return None
+        begin, count = self.begin[at], self.begin[at + 1] - self.begin[at]
+        which = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+        met = np.bincount(self.owner[which], minlength=len(self.sizes))
+        found = np.flatnonzero(100 * met >= threshold * (n + self.sizes - met))
+        return self.classes[found[0]] if len(found) else None
+
+
+def _open(threshold: int):
+    """Task function: rows by grp, band, chunk, members before queries -> a link for each query that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, None
+        classes: list[int] = []
+        sizes: list[int] = []
+        sets: list[np.ndarray] = []
+        for batch in batches:
+            column = batch.column(6)
+            flat, ends = np.asarray(column.values), np.asarray(column.offsets)
+            out: list[tuple[int, int]] = []
+            meta = [batch.column(i).to_pylist() for i in range(6)]
+            for i, (grp, band, chunk, side, class_, n) in enumerate(zip(*meta)):
+                if (grp, band, chunk) != key:
+                    key, group, classes, sizes, sets = (grp, band, chunk), None, [], [], []
+                tokens = flat[ends[i] : ends[i + 1]]
+                if side == 0:
+                    classes.append(class_)
+                    sizes.append(n)
+                    sets.append(tokens.copy())
+                    continue
+                if group is None and classes:
+                    group = _Group(classes, sizes, sets)
+                other = group.link(n, tokens, threshold) if group else None
+                if other is not None:
+                    out.append((class_, other))
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def join(docs: DataFrame, size: int = 5, threshold: int = 75, hashes: int = 8, many: int = 4, chunk: int = 4096) -> DataFrame:
