@@ -32,20 +32,19 @@ class PieceEncoder:
     (about 200 bytes each); it changes speed only.
     """
 
-    def __init__(self, path: str, spaced: bool, memo_entries: int = 600_000):
+    def __init__(self, path: str, spaced: bool, memo_entries: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = Tokenizer.from_file(path)
         self.spaced = spaced
-        special = [(t.content, i) for i, t in self.split.get_added_tokens_decoder().items() if t.special]
+        special = [(t.content, i) for i, t in self.plain.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1]
+        self.running = self.plain
         plan = json.loads(self.plain.to_str())
-        plan["normalizer"] = None
-        self.running = Tokenizer.from_str(json.dumps(plan))  # for text that is its own normal form
-        self.running.encode_special_tokens = True
+        if plan["normalizer"] is not None:  # for text that is its own normal form
+            plan["normalizer"] = None
+            self.running = Tokenizer.from_str(json.dumps(plan))
         vocabulary = self.plain.get_vocab()
         self.bounds = np.zeros(max(vocabulary.values()) + 1, bool)
         self.bounds[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
@@ -108,7 +107,7 @@ class PieceEncoder:
     def _by_turns(self, pieces: list[str], turns: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and sizes of pieces encoded as one running text, cut at the tokens that bound pre-tokens."""
         text = ("" if self.spaced else " ").join(pieces)
-        ids = np.asarray(self.running.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids = self._ids(self.running, text)
         at = np.flatnonzero(self.bounds[ids])
         if len(at) != turns.sum():
             return None
@@ -122,12 +121,18 @@ class PieceEncoder:
         if text.count("<|") != len(pieces) - 1:  # a piece holds the text of a special token
             each = [self.encode_whole(p) for p in pieces]
             return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.asarray(self.split.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids = self._ids(self.plain, text, marks=True)
         ends = np.concatenate((np.flatnonzero(ids == self.mark_id), [len(ids)]))
         return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
 
     def encode_whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self._ids(self.plain, text)
+
+    @staticmethod
+    def _ids(tokenizer, text: str, marks: bool = False) -> np.ndarray:
+        """Ids of a text, in which the strings of special tokens are ordinary text unless they are ``marks``."""
+        tokenizer.encode_special_tokens = not marks
+        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, and the offsets of each text in them. A null text has no ids."""

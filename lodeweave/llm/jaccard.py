@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.components import components
-from lodeweave.llm.storage import materialize, partitions
+from lodeweave.llm.storage import materialize, partitions, release
 from lodeweave.llm.words import words
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -151,6 +151,7 @@ def _deal(size: int, parts: int, many: int, chunk: int):
                         out += _dealt((often & _LOW).astype(np.int64), np.full(len(often), MANY), parts, TOKENS, often)
                     out += _dealt(bucket[~here].astype(np.int64), who[~here], parts, TOKENS, token[~here])
                 yield _batch(out)
+        release()
 
     return run
 
@@ -180,6 +181,7 @@ def _meet(parts: int):
                 yield _batch(through)
         if not tokens:
             return
+        batch = data = rest = None
         token, owner, pair = np.concatenate(tokens), np.concatenate(owners), np.concatenate(paired)
         tokens.clear()
         owners.clear()
@@ -202,6 +204,8 @@ def _meet(parts: int):
         fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))) if len(token) else np.empty(0, bool)
         token, owner = token[fresh], owner[fresh]
         yield _batch(_dealt((owner % np.uint64(parts)).astype(np.int64), owner, parts, SHARED, token))
+        del token, owner, pair, order, ranked, new, run_, held
+        release()
 
     return run
 
@@ -390,7 +394,7 @@ def _open(threshold: int):
     return run
 
 
-def join(docs: DataFrame, size: int = 5, threshold: int = 75, hashes: int = 8, many: int = 4, chunk: int = 4096) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, threshold: int = 75, hashes: int = 8, many: int = 4, chunk: int = 2048) -> DataFrame:
     """Components of docs (doc_id, text) under links of Jaccard similarity ``threshold`` percent.
 
     One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reached).

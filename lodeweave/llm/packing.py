@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.bpe import encoder
-from lodeweave.llm.storage import materialize, partitions
+from lodeweave.llm.storage import materialize, partitions, release
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -45,8 +45,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
         coder = encoder(tokenizer_path, True)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                rows = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
                 ids, offsets = coder.encode(rows.column(1))
                 out: list[tuple] = []
                 for k, doc_id in enumerate(rows.column(0).to_pylist()):
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 6 if with_ids else 5]
                 columns = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
                 yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(types)])
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

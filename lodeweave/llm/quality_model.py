@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeweave.llm.storage import materialize
+from lodeweave.llm.storage import materialize, release
 from lodeweave.llm.words import distinct_per_row, words
 
 #: Common function words of the languages served.
@@ -96,8 +96,8 @@ def _statistics_of(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                rows = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
                 f = statistics(rows.column("text"))
                 values = pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.astype(np.float32).ravel())
                 yield pa.record_batch([*(rows.column(c) for c in keep), values], [*keep, "f"])
@@ -204,9 +204,10 @@ def score(docs: DataFrame, model: FourierRidge | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                rows = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
                 yield pa.record_batch([rows.column("row"), pa.array(model.score(statistics(rows.column("text"))))], ["row", "score"])
+        release()
 
     return packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
 

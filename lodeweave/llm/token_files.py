@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.bpe import encoder
-from lodeweave.llm.storage import materialize, new_path, partitions
+from lodeweave.llm.storage import materialize, new_path, partitions, release
 
 SKIPPABLE = 0x184D2A5E
 MAGIC = b"LWT1"
@@ -85,8 +85,8 @@ def write_token_files(
         frames: list[bytes] = []
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                rows = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
                 ids, offsets = coder.encode(rows.column(1))
                 ids = ids.astype("<u4", copy=False)
                 for k, doc_id in enumerate(rows.column(0).to_pylist()):
@@ -99,6 +99,7 @@ def write_token_files(
                         entries, frames, held, number = [], [], 0, number + 1
         if entries:
             yield pa.record_batch([pa.array([pack_file(part, number, entries, frames)], pa.binary())], ["content"])
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
