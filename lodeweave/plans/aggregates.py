@@ -37,3 +37,189 @@ def pricing_summary(spark, sf_dir):
             F.count("*").alias("count_order"),
         )
     )
+
+
+@query(
+    "ag2_several_distincts",
+    """
+    SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT l_orderkey) AS n_orders
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def several_distincts(spark, sf_dir):
+    distinct = [F.countDistinct(c).alias(n) for c, n in (("l_partkey", "n_parts"), ("l_suppkey", "n_suppliers"), ("l_orderkey", "n_orders"))]
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*distinct)
+
+
+@query(
+    "ag3_rollup",
+    """
+    SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS INTEGER) AS g_status, CAST(grouping(o_orderpriority) AS INTEGER) AS g_priority
+    FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)
+    """,
+)
+def rollup(spark, sf_dir):
+    marks = [F.grouping("o_orderstatus").cast("int").alias("g_status"), F.grouping("o_orderpriority").cast("int").alias("g_priority")]
+    return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), *marks)
+
+
+@query(
+    "ag3_cube",
+    "SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 4) AS mean_price FROM part GROUP BY CUBE (p_brand, p_type)",
+)
+def cube(spark, sf_dir):
+    return table(spark, sf_dir, "part").cube("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean_price"))
+
+
+@query(
+    "ag3_grouping_sets",
+    "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type), ())",
+)
+def grouping_sets(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.groupingSets([("event_type", "user_id"), ("event_type",), ()], "event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+@query("ag4_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def having(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12")
+
+
+@query(
+    "ag5_exact_quantiles",
+    """
+    SELECT l_shipmode, median(l_extendedprice) AS mid, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_quantity, 0.25) AS q25
+    FROM (SELECT l_returnflag AS l_shipmode, * FROM lineitem) GROUP BY l_shipmode
+    """.replace("l_shipmode", "flag"),
+)
+def exact_quantiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"))
+    return rows.agg(F.median("l_extendedprice").alias("mid"), F.percentile("l_extendedprice", 0.9).alias("p90"), F.percentile("l_quantity", 0.25).alias("q25"))
+
+
+@query(
+    "ag6_statistics",
+    """
+    SELECT o_orderpriority, round(stddev_samp(o_totalprice), 4) AS sd, round(var_pop(o_totalprice) / 1e6, 4) AS var_m,
+           round(corr(o_totalprice, o_custkey), 8) AS r, round(covar_samp(o_totalprice, o_custkey) / 1e3, 4) AS cov_k,
+           round(skewness(o_totalprice), 2) AS skew, round(regr_slope(o_totalprice, o_custkey), 6) AS slope
+    FROM orders GROUP BY o_orderpriority
+    """,
+)
+def statistics(spark, sf_dir):
+    n = F.count("o_totalprice")
+    sample = F.skewness("o_totalprice") * F.sqrt(n * (n - 1.0)) / (n - 2.0)  # DuckDB corrects for the sample
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        F.round(F.stddev_samp("o_totalprice"), 4).alias("sd"),
+        F.round(F.var_pop("o_totalprice") / 1e6, 4).alias("var_m"),
+        F.round(F.corr("o_totalprice", "o_custkey"), 8).alias("r"),
+        F.round(F.covar_samp("o_totalprice", "o_custkey") / 1e3, 4).alias("cov_k"),
+        F.round(sample, 2).alias("skew"),
+        F.round(F.regr_slope("o_totalprice", F.col("o_custkey").cast("double")), 6).alias("slope"),
+    )
+
+
+@query(
+    "ag7_listagg",
+    "SELECT r_name, string_agg(n_name, '|' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+)
+def listagg(spark, sf_dir):
+    for name in ("nation", "region"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"ag7_{name}")
+    return spark.sql(
+        "SELECT r_name, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS nations FROM ag7_nation JOIN ag7_region ON n_regionkey = r_regionkey GROUP BY r_name"
+    )
+
+
+@query(
+    "ag8_collect",
+    """
+    SELECT s_nationkey, array_to_string(list_sort(list(s_suppkey)), ',') AS suppliers, array_to_string(list_sort(list(DISTINCT s_suppkey % 7)), ',') AS rests
+    FROM supplier GROUP BY s_nationkey
+    """,
+)
+def collect(spark, sf_dir):
+    text = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x.cast("string")), ",")
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(
+        text(F.collect_list("s_suppkey")).alias("suppliers"), text(F.collect_set(F.col("s_suppkey") % 7)).alias("rests")
+    )
+
+
+@query(
+    "ag9_approx_distinct",
+    "SELECT l_returnflag, true AS hll_close, true AS sketch_close FROM lineitem GROUP BY l_returnflag",
+)
+def approx_distinct(spark, sf_dir):
+    """Are the sketches' counts of distinct orders within 5 percent of the exact one?"""
+    near = lambda c: F.abs(c / F.col("exact") - 1) < 0.05
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.countDistinct("l_orderkey").alias("exact"),
+        F.approx_count_distinct("l_orderkey", 0.01).alias("hll"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", 14)).alias("sketch"),
+    )
+    return counted.select("l_returnflag", near(F.col("hll")).alias("hll_close"), near(F.col("sketch")).alias("sketch_close"))
+
+
+@query(
+    "ag10_approx_quantile",
+    "SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag",
+)
+def approx_quantile(spark, sf_dir):
+    """Is the approximate median within half a percent of rank of the exact one?"""
+    prices = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.percentile_approx("l_extendedprice", 0.5, 2000).alias("mid"),
+        F.percentile("l_extendedprice", 0.49).alias("low"),
+        F.percentile("l_extendedprice", 0.51).alias("high"),
+    )
+    return prices.select("l_returnflag", F.col("mid").between(F.col("low"), F.col("high")).alias("close"))
+
+
+@query(
+    "ag11_extremes_and_mode",
+    """
+    SELECT c_mktsegment, max_by(c_custkey, c_acctbal) AS richest, min_by(c_custkey, c_acctbal) AS poorest, bool_or(c_acctbal < 0) AS any_debt,
+           bit_xor(c_custkey) AS mixed
+    FROM customer GROUP BY c_mktsegment
+    """,
+)
+def extremes(spark, sf_dir):
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
+        F.max_by("c_custkey", "c_acctbal").alias("richest"),
+        F.min_by("c_custkey", "c_acctbal").alias("poorest"),
+        F.bool_or(F.col("c_acctbal") < 0).alias("any_debt"),
+        F.bit_xor("c_custkey").alias("mixed"),
+    )
+
+
+@query("ag11_sketches")
+def sketches(spark, sf_dir):
+    """The sketch aggregates, read out: theta, KLL, count-min, top items, bitmap and histogram."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("ag11_lines")
+    return spark.sql(
+        """
+        SELECT l_returnflag, theta_sketch_estimate(theta_sketch_agg(l_orderkey)) AS orders,
+               round(kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D), 2) AS mid,
+               length(count_min_sketch(l_partkey, 0.01D, 0.95D, 7)) AS sketch_bytes,
+               approx_top_k(l_linenumber, 3) AS top, size(histogram_numeric(l_quantity, 5)) AS bars,
+               bitmap_count(bitmap_construct_agg(bitmap_bit_position(l_suppkey + 1))) AS suppliers
+        FROM ag11_lines GROUP BY l_returnflag
+        """
+    )
+
+
+@query(
+    "ag12_filtered_aggregates",
+    """
+    SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, round(sum(value) FILTER (WHERE event_type = 'purchase'), 2) AS spent,
+           round(max(value), 2) AS most, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS large
+    FROM events GROUP BY user_id
+    """,
+)
+def filtered(spark, sf_dir):
+    is_ = lambda t: F.col("event_type") == t
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count_if(is_("click")).alias("clicks"),
+        F.round(F.sum(F.when(is_("purchase"), F.col("value"))), 2).alias("spent"),
+        F.round(F.max("value"), 2).alias("most"),
+        F.count_if(F.col("value") > 100).alias("large"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates",)
+MODULES = ("projections", "joins", "aggregates", "windows", "scalars", "streams", "functions_and_files")
 
 
 def load() -> None:
