@@ -97,3 +97,18 @@ def op10_toxicity(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(_remainder(4) != 2)
     scored = toxicity.classify(_table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+ORACLES["op2_jaccard_join"] = r"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM lowered),
+sizes AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT sizes.doc_id, sizes.n AS n_shingles, least(sizes.doc_id, coalesce(first, sizes.doc_id)) AS component_id
+FROM sizes LEFT JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) f ON f.a = sizes.doc_id
+"""
