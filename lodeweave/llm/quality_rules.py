@@ -32,7 +32,7 @@ STOP_WORDS = (
     "el los las del y por con para se su al lo como"
 ).split()
 #: Where a word of plain prose ends: a lower-case letter, one mark at most, then a blank or the end.
-PLAIN_END = r"\p{Ll}[.,;:?]?(?=[\x20\x09-\x0D]|$)"
+PLAIN_END = r"\p{Ll}[.,;:?]?(?=[\x20\x09-\x0D]|\z)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

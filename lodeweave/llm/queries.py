@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import html_text, jaccard, media, mixing, packing, pii, quality_model, quality_rules, token_files, toxicity
+from lodeweave.llm.storage import bound_batches
 from lodeweave.session import ship
 
 #: Stands for the secret that a deployment keeps; replacements can't be linked to entities without it.
@@ -20,6 +21,7 @@ ORACLES: dict[str, str] = {}
 def _query(fn: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        bound_batches(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
@@ -74,7 +76,7 @@ def op5_quality_classifier(spark, sf_dir):
 @_query
 def op6_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 6).alias("probability"))
 
 
 @_query
@@ -112,3 +114,65 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN l
 SELECT sizes.doc_id, sizes.n AS n_shingles, least(sizes.doc_id, coalesce(first, sizes.doc_id)) AS component_id
 FROM sizes LEFT JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) f ON f.a = sizes.doc_id
 """
+
+
+def _quality_rules_statement(rounds: int = 50, belief: float = 0.02, prior: float = 0.85, n_rules: int = 10) -> str:
+    """Counts, votes, expectation maximisation on vote patterns, and verdicts, as one statement."""
+    stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    without = lambda letters: f"length(translate(t, {letters}, ''))"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    start = {True: {1: 0.78, 0: 0.215, -1: 0.005}, False: {1: 0.6, 0: 0.2, -1: 0.2}}
+    first = ", ".join(f"({c}, {v}, {p}::DOUBLE)" for c, of in ((1, start[True]), (0, start[False])) for v, p in of.items())
+    return rf"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS id, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+windows AS (SELECT id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+again AS (SELECT id, i FROM windows JOIN (SELECT id, g FROM windows GROUP BY id, g HAVING count(*) > 1) USING (id, g)),
+covered AS (SELECT id, count(DISTINCT j) AS n FROM (SELECT id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY id),
+counted AS (
+  SELECT id, doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: x IN ({stops}))) AS n_stops,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, {without(blanks)} AS word_chars, length(t) - {without(f"'{quality_rules.SYMBOLS}'")} AS n_symbols,
+         length(t) - {without(f"'{upper}'")} AS n_upper, length(t) - {without("'!'")} AS n_shouts, length(t) - {without(f"'{digits}'")} AS n_digits,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{{Ll}}[.,;:?]?$'))) AS n_plain
+  FROM texts LEFT JOIN covered USING (id)),
+rates AS (
+  SELECT *, word_chars / nullif(n_words, 0) AS mean, n_symbols / nullif(n_words, 0) AS sym, n_shouts / nullif(n_words, 0) AS sho, n_upper / nullif(word_chars, 0) AS upp,
+         n_repeat_words / nullif(n_words, 0) AS rep, n_dup_lines / nullif(n_lines, 0) AS dup, n_plain / nullif(n_words, 0) AS pla, n_stops / nullif(n_words, 0) AS sto,
+         n_digits / nullif(word_chars, 0) AS dig, n_distinct / sqrt(nullif(n_words, 0)) AS var
+  FROM counted),
+ballots AS (
+  SELECT *, [CASE WHEN mean < 2 OR mean > 16 THEN -1 WHEN mean >= 3 AND mean <= 10 THEN 1 ELSE 0 END, CASE WHEN sym > 0.15 THEN -1 WHEN sym <= 0.03 THEN 1 ELSE 0 END,
+    CASE WHEN sho > 0.2 THEN -1 WHEN sho <= 0.03 THEN 1 ELSE 0 END, CASE WHEN upp > 0.3 THEN -1 WHEN upp <= 0.1 THEN 1 ELSE 0 END,
+    CASE WHEN rep > 0.4 THEN -1 WHEN rep <= 0.2 THEN 1 ELSE 0 END, CASE WHEN dup > 0.4 THEN -1 WHEN dup <= 0.1 THEN 1 ELSE 0 END,
+    CASE WHEN pla < 0.65 THEN -1 WHEN pla >= 0.85 THEN 1 ELSE 0 END, CASE WHEN sto < 0.02 THEN -1 WHEN sto >= 0.08 THEN 1 ELSE 0 END,
+    CASE WHEN dig > 0.25 THEN -1 WHEN dig <= 0.05 THEN 1 ELSE 0 END, CASE WHEN var < 2.5 THEN -1 WHEN var >= 4 THEN 1 ELSE 0 END] AS votes FROM rates),
+patterns AS (SELECT votes, count(*)::DOUBLE AS n FROM ballots WHERE n_words > 0 GROUP BY votes),
+long AS (SELECT votes, n, r, votes[r] AS v FROM (SELECT votes, n, unnest(range(1, {n_rules} + 1)) AS r FROM patterns)),
+total AS (SELECT sum(n) AS n FROM patterns),
+start AS (SELECT * FROM (VALUES {first}) s(c, v, p)),
+em(round, prior, chances) AS (
+  SELECT 0, {prior}::DOUBLE, (SELECT map_from_entries(list((r * 100 + c * 10 + v + 1, p))) FROM start, (SELECT unnest(range(1, {n_rules} + 1)) AS r))
+  UNION ALL
+  SELECT round + 1, new_prior, chances2 FROM (
+    WITH post AS (
+      SELECT em.round, votes, any_value(n) AS n, 1 / (1 + exp(-(ln(any_value(prior) / (1 - any_value(prior))) + sum(ln(chances[r * 100 + 10 + v + 1] / chances[r * 100 + v + 1]))))) AS p
+      FROM em, long WHERE em.round < {rounds} GROUP BY em.round, votes),
+    mass AS (
+      SELECT r, c, s.v, any_value(({belief} * total.n + 1) * s.p) + coalesce(sum(CASE WHEN long.v = s.v THEN post.n * CASE WHEN c = 1 THEN post.p ELSE 1 - post.p END END), 0) AS m
+      FROM long JOIN post USING (votes), start s, total GROUP BY r, c, s.v)
+    SELECT (SELECT any_value(round) FROM post) AS round, (SELECT least(greatest((sum(n * p) + 1) / (sum(n) + 2), 0.01), 0.99) FROM post) AS new_prior,
+           (SELECT map_from_entries(list((r * 100 + c * 10 + v + 1, m / whole))) FROM (SELECT *, sum(m) OVER (PARTITION BY r, c) AS whole FROM mass)) AS chances2)
+  WHERE round IS NOT NULL),
+final AS (SELECT * FROM em ORDER BY round DESC LIMIT 1),
+scored AS (
+  SELECT votes, 1 / (1 + exp(-(ln(any_value(prior) / (1 - any_value(prior))) + sum(ln(chances[r * 100 + 10 + votes[r] + 1] / chances[r * 100 + votes[r] + 1]))))) AS p
+  FROM (SELECT votes, unnest(range(1, {n_rules} + 1)) AS r FROM (SELECT DISTINCT votes FROM ballots)), final GROUP BY votes),
+verdicts AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM ballots JOIN scored USING (votes))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS probability FROM verdicts
+"""
+
+
+ORACLES["op6_quality_rules"] = _quality_rules_statement()
