@@ -8,14 +8,18 @@ each operator's docstring says.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import jaccard, mixing, packing, pii, quality_model
 from lodeweave.llm.queries import PII_KEY, vocabulary
-from lodeweave.llm.storage import materialize
+from lodeweave.llm.storage import bound_batches, materialize
 from lodeweave.session import ship
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 #: No SQL states a fitted classifier, a seeded draw or a genetic packing; tests compare with plain versions.
 ORACLE_SQL = None
 
@@ -65,18 +69,28 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def _prepared(stage: Stage) -> Stage:
+    """The stage, after sending the code to the executors and bounding Arrow batches."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_classifier", quality),
-    ("jaccard_join", deduplicate),
-    ("pii", private),
-    ("mixing", mix),
-    ("packing", pack),
+    ("quality_classifier", _prepared(quality)),
+    ("jaccard_join", _prepared(deduplicate)),
+    ("pii", _prepared(private)),
+    ("mixing", _prepared(mix)),
+    ("packing", _prepared(pack)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result of the last."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
