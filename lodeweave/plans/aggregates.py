@@ -14,7 +14,7 @@ from lodeweave.session import table
     SELECT l_returnflag, l_linestatus,
            round(sum(l_quantity), 2) AS sum_qty,
            round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
+           round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price,
            round(avg(l_quantity), 4) AS avg_qty,
            round(avg(l_discount), 4) AS avg_disc,
            count(*) AS count_order
@@ -31,7 +31,7 @@ def pricing_summary(spark, sf_dir):
         .agg(
             F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
             F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-            F.round(F.sum(net), 2).alias("sum_disc_price"),
+            F.round(F.sum(net), 4).alias("sum_disc_price"),
             F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
             F.round(F.avg("l_discount"), 4).alias("avg_disc"),
             F.count("*").alias("count_order"),
@@ -65,10 +65,10 @@ def rollup(spark, sf_dir):
 
 @query(
     "ag3_cube",
-    "SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 4) AS mean_price FROM part GROUP BY CUBE (p_brand, p_type)",
+    "SELECT p_brand, p_type, count(*) AS n, round(sum(p_retailprice), 2) AS total_price FROM part GROUP BY CUBE (p_brand, p_type)",
 )
 def cube(spark, sf_dir):
-    return table(spark, sf_dir, "part").cube("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean_price"))
+    return table(spark, sf_dir, "part").cube("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total_price"))
 
 
 @query(

@@ -12,7 +12,7 @@ from lodeweave.session import table
 @query(
     "jn1_multi_way",
     """
-    SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer
+    SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer
     JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     WHERE r_name = 'ASIA' GROUP BY n_name
@@ -27,7 +27,7 @@ def local_suppliers(spark, sf_dir):
         .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t["region"].where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
 
 
 _BY_NATION = "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"

@@ -13,7 +13,7 @@ from lodeweave.session import table
 @query(
     "pf1_project_filter",
     """
-    SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM lineitem
+    SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge FROM lineitem
     WHERE l_quantity < 5 AND l_discount BETWEEN 0.05 AND 0.07 AND l_returnflag IN ('A', 'R') AND l_shipdate >= TIMESTAMP '1997-01-01'
     """,
 )
@@ -21,7 +21,7 @@ def project_filter(spark, sf_dir):
     charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     kept = (F.col("l_quantity") < 5) & F.col("l_discount").between(0.05, 0.07) & F.col("l_returnflag").isin("A", "R")
     late = F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")
-    return table(spark, sf_dir, "lineitem").where(kept & late).select("l_orderkey", "l_linenumber", F.round(charge, 2).alias("charge"))
+    return table(spark, sf_dir, "lineitem").where(kept & late).select("l_orderkey", "l_linenumber", F.round(charge, 6).alias("charge"))
 
 
 @query(
@@ -93,7 +93,7 @@ def global_sort(spark, sf_dir):
 @query(
     "sl2_top_k",
     """
-    SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer
+    SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate FROM customer
     JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
     GROUP BY o_orderkey, o_orderdate ORDER BY revenue DESC, o_orderkey LIMIT 10
@@ -105,7 +105,7 @@ def shipping_priority(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < day).select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") > day)
     joined = customers.join(orders, F.col("c_custkey") == F.col("o_custkey")).join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
-    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue")
     return joined.groupBy("o_orderkey", "o_orderdate").agg(revenue).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
