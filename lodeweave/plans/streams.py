@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodeweave.plans.registry import query
@@ -80,6 +82,23 @@ def keyed_state(spark, sf_dir):
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
+@query("st7_rocksdb_state", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def rocksdb_state(spark, sf_dir):
+    ship(spark)
+    with st.rocksdb(spark):
+        out = st.settle(st.running_totals_in_rocksdb(st.events(spark, sf_dir, None).select("user_id", "value"), "user_id"))
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+
+
+@query("st9_memory_sink", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def memory_sink(spark, sf_dir):
+    """The memory sink holds its result on the driver: here a row per event type."""
+    counts = st.events(spark, sf_dir, None).groupBy("event_type").agg(F.count("*").alias("n"))
+    name = f"st9_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 @query(
     "st8_late_data",
     """

@@ -8,6 +8,7 @@ compared with a batch answer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,37 @@ def running_totals(stream: DataFrame, key: str) -> DataFrame:
         yield pd.DataFrame({key: [keys[0]], "n": [count], "total": [total]})
 
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} long, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_totals_in_rocksdb(stream: DataFrame, key: str) -> DataFrame:
+    """``running_totals`` on the newer state interface; needs the RocksDB state store (see ``rocksdb``)."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    class Totals(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.held = handle.getValueState("held", "n long, total double")
+
+        def handleInputRows(self, keys, rows, timers) -> Iterator[pd.DataFrame]:
+            count, total = self.held.get() if self.held.exists() else (0, 0.0)
+            for pdf in rows:
+                count += len(pdf)
+                total += float(pdf["value"].sum())
+            self.held.update((count, total))
+            yield pd.DataFrame({key: [keys[0]], "n": [count], "total": [total]})
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy(key).transformWithStateInPandas(Totals(), f"{key} long, n long, total double", "append", "none")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of streams started inside is kept in RocksDB: larger than memory, with incremental checkpoints."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
