@@ -45,8 +45,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
         coder = encoder(tokenizer_path, True)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
                 ids, offsets = coder.encode(rows.column(1))
                 out: list[tuple] = []
                 for k, doc_id in enumerate(rows.column(0).to_pylist()):

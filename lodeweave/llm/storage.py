@@ -44,6 +44,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim_heaps(spark: SparkSession) -> None:
+    """Let executors' heaps shrink before a stage that needs memory for Python.
+
+    A heap that a SQL stage has grown stays grown, beside the Python workers of the
+    next stage and under the same limit. A collection in every executor, in one
+    short wave of tasks, gives the free part back.
+    """
+    waves = spark.range(0, spark.sparkContext.defaultParallelism, 1, spark.sparkContext.defaultParallelism)
+    waves.selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def release() -> None:
     """Give a Python worker's free memory back: workers outlive tasks, and the next stage needs it."""
     pa.default_memory_pool().release_unused()
