@@ -63,7 +63,8 @@ def op4_pii(spark, sf_dir):
 
 
 def _remainder(n: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    """crc32 of the id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(-1))
 
 
 @_query
