@@ -45,8 +45,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
         coder = encoder(tokenizer_path, True)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
                 ids, offsets = coder.encode(rows.column(1))
                 out: list[tuple] = []
                 for k, doc_id in enumerate(rows.column(0).to_pylist()):
@@ -100,13 +100,17 @@ def crossover(one: list[list[int]], other: list[list[int]], items: Counter, capa
     """Inject well-filled bins of ``one`` into ``other``, drop repeats, best-fit what is displaced."""
     ranked = sorted(one, key=sum, reverse=True)
     take = rng.uniform(0.3, 0.8) * len(ranked)
-    left, child = Counter(items), BestFit(capacity)
+    left, child = [0] * (capacity + 1), BestFit(capacity)
+    for size, n in items.items():
+        left[size] = n
 
     def fits(bin_: list[int]) -> bool:
-        need = Counter(bin_)
-        if any(left[s] < n for s, n in need.items()):
-            return False
-        left.subtract(need)
+        for i, size in enumerate(bin_):
+            if not left[size]:  # a repeat: put back what the bin has taken
+                for other_ in bin_[:i]:
+                    left[other_] += 1
+                return False
+            left[size] -= 1
         child.add(list(bin_))
         return True
 
@@ -116,8 +120,9 @@ def crossover(one: list[list[int]], other: list[list[int]], items: Counter, capa
     for bin_ in sorted(other, key=sum, reverse=True):
         if sum(bin_) >= 0.98 * capacity or rng.random() < 0.5:
             fits(bin_)
-    for size in sorted(left.elements(), reverse=True):
-        child.place(size)
+    for size in range(capacity, 0, -1):
+        for _ in range(left[size]):
+            child.place(size)
     return child.bins
 
 
