@@ -171,7 +171,9 @@ class Mix:
     def draw(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with doc_id, source and size) once for each time that the mix takes them, with copy and shard."""
         columns = rows.columns
-        drawn = self.placed(rows).select(*columns, "source_at", "block").join(self.instances(), ["source_at", "block"])
+        # stored, its size is known before rows move: where it is small they stay in place
+        instances = materialize(self.instances(), "mix-instances")
+        drawn = self.placed(rows).select(*columns, "source_at", "block").join(instances, ["source_at", "block"])
         picked = self.chosen.withColumn("picked", F.lit(True)).withColumnsRenamed({"doc_id": "doc_id_", "size": "size_", "source_at": "source_at_"})
         same = (F.col("source_at") == F.col("source_at_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("size") == F.col("size_"))
         whole = drawn.where(~F.col("partial"))
