@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.bpe import encoder
+from lodeweave.llm.bpe import encoder, regrouped
 from lodeweave.llm.storage import materialize, partitions, release
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,9 +44,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path, True)
         end = np.array([end_id], "<u4")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = batch.slice(at, 2048)
+        for batch in regrouped(batches):
+            for at in range(0, batch.num_rows, 4096):
+                rows = batch.slice(at, 4096)
                 ids, offsets = coder.encode(rows.column(1))
                 out: list[tuple] = []
                 for k, doc_id in enumerate(rows.column(0).to_pylist()):

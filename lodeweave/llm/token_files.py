@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.bpe import encoder
+from lodeweave.llm.bpe import encoder, regrouped
 from lodeweave.llm.storage import materialize, new_path, partitions, release
 
 SKIPPABLE = 0x184D2A5E
@@ -84,9 +84,9 @@ def write_token_files(
         entries: list[tuple] = []
         frames: list[bytes] = []
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = batch.slice(at, 2048)
+        for batch in regrouped(batches):
+            for at in range(0, batch.num_rows, 4096):
+                rows = batch.slice(at, 4096)
                 ids, offsets = coder.encode(rows.column(1))
                 ids = ids.astype("<u4", copy=False)
                 for k, doc_id in enumerate(rows.column(0).to_pylist()):
