@@ -187,8 +187,9 @@ class LabelModel:
         self.parents = [-1] * k
         strength = (v == 2).sum(1) - (v == 0).sum(1)
         p = np.where(strength > 0, 0.95, np.where((v == 2).any(1), 0.5, 0.02))
-        for _ in range(2):  # the tree first follows the majority of votes, then the posterior
-            self.parents = self._tree(v, n, p)
+        for tree in (False, True):  # independent voters first; their posterior then tells which are correlated
+            if tree:
+                self.parents = self._tree(v, n, p)
             for _ in range(self.rounds):
                 self._fit_tables(v, n, p)
                 self.prior = float(np.clip((n * p).sum() / n.sum(), 0.005, 0.6))

@@ -65,9 +65,8 @@ def test_label_model_with_correlated_voters():
     y = rng.random(20_000) < 0.2
     one = np.where(rng.random(len(y)) < 0.9, y, ~y)
     twin = np.where(rng.random(len(y)) < 0.97, one, ~one)  # says what the first says
-    other = np.where(rng.random(len(y)) < 0.85, y, ~y)
-    third = np.where(rng.random(len(y)) < 0.85, y, ~y)
-    ballots = 2 * np.column_stack([one, twin, other, third]).astype(np.int64)
+    others = [np.where(rng.random(len(y)) < 0.85, y, ~y) for _ in range(6)]
+    ballots = 2 * np.column_stack([one, twin, *others]).astype(np.int64)
     model = toxicity.LabelModel(0.2).fit(ballots)
     assert 0 in (model.parents[1],) or 1 in (model.parents[0],)
     label = model.posterior(ballots) > 0.5
