@@ -36,11 +36,14 @@ TITLES = {
     ("cyrillic", "m"): ["г-н", "господин"],
 }
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+#: Secrets that show by themselves: hexadecimal numbers and keys of known services.
+_KEYS = r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{16,}"
+#: What stands before a quoted secret.
+_NAMED = r"(?i:token|secret|password|passwd|api_key|apikey)(?: = |=|: |:)\""
 #: Kind -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
-    r"|(?<=(?i:token|secret|password|passwd|api_key|apikey)(?: = |=|: |:)\")[^\"\s]{8,}(?=\")",
+    "secret": rf"(?<![A-Za-z0-9])(?:{_KEYS})(?![A-Za-z0-9])|(?<={_NAMED})[^\"\s]{{8,}}(?=\")",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -49,8 +52,8 @@ PATTERNS = {
     "person": rf"(?<=(?<![\p{{L}}])(?:{_TITLE})\.? )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without these holds no entity; most texts stop here.
-HINT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
+#: A text without these holds no entity; most texts stop here. Of the patterns only secrets and persons need neither digit nor "@".
+HINT = rf"[0-9@]|(?<![A-Za-z0-9])(?:{_KEYS})|{_NAMED}[^\"\s]{{8}}|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
 
 FIRST = {
     ("latin", "f"): "Alma Berta Clara Daria Elena Flora Greta Hilda Irma Julia Klara Laura Marta Nora Olga Paula Rita Sara Tilda Vera".split(),
@@ -109,16 +112,27 @@ def _with_check_digit(digits: Column) -> Column:
     return F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))
 
 
-def kind_of(found: Column) -> Column:
+def leads(found: Column, gaps: Column) -> Column:
+    """Per match, in order: "named" where it stands in quotes behind a word for a secret, else null."""
+
+    def one(_, i: Column) -> Column:
+        before = F.substring(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), -24, 24)
+        return F.when(before.rlike(rf"{_NAMED}\z") & F.get(gaps, i + 1).startswith('"'), "named")
+
+    return F.transform(found, one)
+
+
+def kind_of(found: Column, lead: Column) -> Column:
     """The kind of a match, by the first pattern that it fits whole."""
+    named = F.coalesce(lead == "named", F.lit(False)) & found.rlike(r"^[^\"\s]{8,}\z")
     tests = {
-        "email": found.contains("@"),
+        "email": found.contains("@") & (~named | found.rlike(rf"^(?:{PATTERNS['email']})\z")),
+        "secret": named | found.rlike(rf"^(?:{_KEYS})\z"),
         "ip": found.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"),
         "ssn": found.rlike(r"^\d{3}-\d{2}-\d{4}$"),
         "phone": found.startswith("+") | found.startswith("(") | found.rlike(r"^\d{3}[.-]\d{3}[.-]\d{4}$"),
         "card": found.rlike(r"^\d([ -]?\d){12,18}$"),
         "iban": found.rlike(r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,3})?$"),
-        "secret": found.rlike(r"[0-9]") | ~found.rlike(r"^\p{Lu}\p{L}+( \p{Lu}\p{L}+)?$"),
     }
     first = F
     for kind, test in tests.items():
@@ -150,10 +164,10 @@ def surrogate(key: str, kind: Column, norm: Column, gender: Column, attempt: int
         ip = ip.otherwise(F.concat_ws(".", public.cast("string"), octets[1].cast("string"), tail))
         local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
         host = shaped(F.substring_index(domain, ".", 1), F.sha2(F.concat(F.lit(key), domain), 256))
-        extra = F.lower(shaped(F.lit("a" * attempt), F.sha2(stream, 256)))  # short local parts run out of shapes
+        extra = F.lower(shaped(F.lit("a" * attempt), F.sha2(stream, 256)))  # short local parts, and secrets of signs alone, run out of shapes
         email = F.concat(shaped(local, stream), extra, F.lit("@"), host, F.lit(".example."), F.substring_index(domain, ".", -1))
         hexes = F.substr(F.repeat(stream, 2), F.lit(1), F.length(norm))
-        secret = F.when(norm.rlike("^[0-9a-f]{32,128}$"), hexes).when(norm.rlike("^[0-9A-F]{32,128}$"), F.upper(hexes)).otherwise(shaped(norm, stream))
+        secret = F.when(norm.rlike("^[0-9a-f]{32,128}$"), hexes).when(norm.rlike("^[0-9A-F]{32,128}$"), F.upper(hexes)).otherwise(F.concat(shaped(norm, stream), extra))
         iban = lead(2, digits)
         return (
             F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip)
@@ -229,10 +243,12 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     marked = docs.withColumn("pii_found_", F.coalesce(found, F.array().cast("array<string>")))
     clean = marked.where(F.size("pii_found_") == 0).select(*columns, F.array().cast("array<string>").alias("pii_kinds"))
     hit = marked.where(F.size("pii_found_") > 0).withColumn("pii_key_", F.md5("text")).withColumn("pii_gender_", _genders(F.col("text")))
-    hit = materialize(hit, "pii-hits")
+    hit = hit.withColumn("pii_gaps_", F.split("text", F.lit(ANY), -1)).withColumn("pii_lead_", leads(F.col("pii_found_"), F.col("pii_gaps_")))
+    hit = materialize(hit.drop("text"), "pii-hits")  # the gaps and the matches are the text
 
-    texts = hit.groupBy("pii_key_").agg(F.first("pii_found_").alias("found"), F.first("pii_gender_").alias("genders"))
-    each = texts.select("pii_key_", "genders", F.posexplode("found").alias("at", "raw")).withColumn("kind", kind_of(F.col("raw")))
+    texts = hit.groupBy("pii_key_").agg(F.first("pii_found_").alias("found"), F.first("pii_gender_").alias("genders"), F.first("pii_lead_").alias("leads"))
+    each = texts.select("pii_key_", "genders", "leads", F.posexplode("found").alias("at", "raw"))
+    each = each.withColumn("kind", kind_of(F.col("raw"), F.get("leads", F.col("at"))))
     each = each.withColumn("norm", normal_form(F.col("kind"), F.col("raw")))
     entities = each.groupBy("kind", "norm").agg(F.max(F.when(F.col("kind") == "person", F.get("genders", F.lit(0)))).alias("gender"))
     entities = materialize(entities.withColumn("gender", F.coalesce("gender", F.lit("m"))), "pii-entities")
@@ -240,7 +256,6 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     written = mapped.groupBy("pii_key_").agg(F.array_sort(F.collect_list(F.struct("at", "new", "kind"))).alias("w"))
     written = written.select("pii_key_", F.col("w.new").alias("pii_new_"), F.col("w.kind").alias("pii_kinds"))
 
-    gaps = F.split("text", ANY, -1)
-    woven = F.array_join(F.flatten(F.zip_with(gaps, F.col("pii_new_"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+    woven = F.array_join(F.flatten(F.zip_with(F.col("pii_gaps_"), F.col("pii_new_"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     joined = hit.join(written, "pii_key_").withColumn("text", woven)
     return clean.unionByName(joined.select(*columns, "pii_kinds"))
