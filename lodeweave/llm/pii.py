@@ -5,7 +5,8 @@ addresses, social security numbers, telephone and card numbers, and persons
 behind an honorific. An entity's normal form (digits of a number, lower case of
 an address) decides its replacement, so all its spellings, in all documents, get
 the same one, written in the layout of each place. Persons keep gender, script
-and the number of their names; numbers keep layout, country or issuer, and a
+and the number of their names; a full name met with honorifics of both genders
+is two persons, a surname alone one entity for both. Numbers keep layout, country or issuer, and a
 valid check digit where there was one.
 
 Replacements come from SHA-256 of the key, the entity and an attempt number. A
@@ -113,11 +114,15 @@ def _with_check_digit(digits: Column) -> Column:
 
 
 def leads(found: Column, gaps: Column) -> Column:
-    """Per match, in order: "named" where it stands in quotes behind a word for a secret, else null."""
+    """Per match, in order: "named" in quotes behind a word for a secret, behind an honorific its gender, else null."""
+    titles = {sex: "|".join(t for (_, of), names in TITLES.items() if of == sex for t in names) for sex in "fm"}
 
     def one(_, i: Column) -> Column:
         before = F.substring(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), -24, 24)
-        return F.when(before.rlike(rf"{_NAMED}\z") & F.get(gaps, i + 1).startswith('"'), "named")
+        lead = F.when(before.rlike(rf"{_NAMED}\z") & F.get(gaps, i + 1).startswith('"'), "named")
+        for sex, names in titles.items():
+            lead = lead.when(before.rlike(rf"(?<![\p{{L}}])(?:{names})\.? \z"), sex)
+        return lead
 
     return F.transform(found, one)
 
@@ -214,23 +219,16 @@ def render(kind: Column, found: Column, canonical: Column) -> Column:
     )
 
 
-def _genders(text: Column) -> Column:
-    """Per person, in order: the gender of the honorific before the name."""
-    titles = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}])({_TITLE})\.? (?=\p{{Lu}}\p{{L}})"), F.lit(1))
-    women = [t for (_, sex), names in TITLES.items() if sex == "f" for t in names]
-    return F.transform(titles, lambda t: F.when(t.isin(women), "f").otherwise("m"))
-
-
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """entities: distinct (kind, norm, gender). Returns kind, norm, canonical, with all canonicals distinct in a kind."""
+    """entities: distinct (kind, norm, gender). Returns kind, norm, gender, canonical, with all canonicals distinct in a kind."""
     todo, done, attempt = entities, [], 0
     while True:
         drawn = todo.withColumn("canonical", surrogate(key, F.col("kind"), F.col("norm"), F.col("gender"), attempt))
-        first = drawn.groupBy("kind", "canonical").agg(F.min(F.struct(F.sha2(F.concat_ws("/", F.lit(key), "norm"), 256), "norm"))["norm"].alias("norm"))
+        first = drawn.groupBy("kind", "canonical").agg(F.min(F.struct(F.sha2(F.concat_ws("/", F.lit(key), "norm"), 256), "norm", "gender")).alias("of")).select("kind", "canonical", "of.norm", "of.gender")
         taken = reduce(DataFrame.unionByName, [entities.select("kind", F.col("norm").alias("canonical")), *[d.select("kind", "canonical") for d in done]])
-        kept = materialize(first.join(taken, ["kind", "canonical"], "left_anti").select("kind", "norm", "canonical"), "pii-map")
+        kept = materialize(first.join(taken, ["kind", "canonical"], "left_anti").select("kind", "norm", "gender", "canonical"), "pii-map")
         done.append(kept)
-        left = todo.join(kept, ["kind", "norm"], "left_anti")
+        left = todo.join(kept, ["kind", "norm", "gender"], "left_anti")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, done)
         todo, attempt = materialize(left, "pii-left"), attempt + 1
@@ -242,17 +240,19 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     marked = docs.withColumn("pii_found_", F.coalesce(found, F.array().cast("array<string>")))
     clean = marked.where(F.size("pii_found_") == 0).select(*columns, F.array().cast("array<string>").alias("pii_kinds"))
-    hit = marked.where(F.size("pii_found_") > 0).withColumn("pii_key_", F.md5("text")).withColumn("pii_gender_", _genders(F.col("text")))
+    hit = marked.where(F.size("pii_found_") > 0).withColumn("pii_key_", F.md5("text"))
     hit = hit.withColumn("pii_gaps_", F.split("text", F.lit(ANY), -1)).withColumn("pii_lead_", leads(F.col("pii_found_"), F.col("pii_gaps_")))
     hit = materialize(hit.drop("text"), "pii-hits")  # the gaps and the matches are the text
 
-    texts = hit.groupBy("pii_key_").agg(F.first("pii_found_").alias("found"), F.first("pii_gender_").alias("genders"), F.first("pii_lead_").alias("leads"))
-    each = texts.select("pii_key_", "genders", "leads", F.posexplode("found").alias("at", "raw"))
-    each = each.withColumn("kind", kind_of(F.col("raw"), F.get("leads", F.col("at"))))
+    texts = hit.groupBy("pii_key_").agg(F.first("pii_found_").alias("found"), F.first("pii_lead_").alias("leads"))
+    each = texts.select("pii_key_", "leads", F.posexplode("found").alias("at", "raw")).withColumn("lead", F.get("leads", F.col("at"))).drop("leads")
+    each = each.withColumn("kind", kind_of(F.col("raw"), F.col("lead")))
     each = each.withColumn("norm", normal_form(F.col("kind"), F.col("raw")))
-    entities = each.groupBy("kind", "norm").agg(F.max(F.when(F.col("kind") == "person", F.get("genders", F.lit(0)))).alias("gender"))
-    entities = materialize(entities.withColumn("gender", F.coalesce("gender", F.lit("m"))), "pii-entities")
-    mapped = each.join(assign(entities, key), ["kind", "norm"]).withColumn("new", render(F.col("kind"), F.col("raw"), F.col("canonical")))
+    # a surname alone has no gender of its own, so Mr and Mrs Smith stay one family
+    full = (F.col("kind") == "person") & F.col("norm").contains(" ")
+    each = each.withColumn("gender", F.when(full & (F.col("lead") == "f"), "f").otherwise("m")).drop("lead")
+    entities = materialize(each.select("kind", "norm", "gender").distinct(), "pii-entities")
+    mapped = each.join(assign(entities, key), ["kind", "norm", "gender"]).withColumn("new", render(F.col("kind"), F.col("raw"), F.col("canonical")))
     written = mapped.groupBy("pii_key_").agg(F.array_sort(F.collect_list(F.struct("at", "new", "kind"))).alias("w"))
     written = written.select("pii_key_", F.col("w.new").alias("pii_new_"), F.col("w.kind").alias("pii_kinds"))
 

@@ -108,3 +108,18 @@ def test_secrets_without_digits(spark):
 def test_quoted_entities_keep_their_kind(spark):
     got = replaced(spark, ['token: "+1 (521) 555-6210"', 'token: "anna@corp.org"', 'token: "8.196.197.208 up"'])
     assert [got[i][1] for i in range(3)] == [["phone"], ["email"], ["ip"]]
+
+
+def test_two_genders_in_one_text(spark):
+    texts = ["Mr Smith met Mrs Anna Jones.", "Mrs Anna Jones met Mr Karl Jones and г-жа Анна Петрова.", "Mr Karl Herr. Kim Lee", "Mrs Kim Lee and Mrs Smith"]
+    got = [t for _, (t, _) in sorted(replaced(spark, texts).items())]
+    anna = re.search(r"Mrs (\w+ \w+)\.", got[0])[1]
+    assert anna.split()[0] in pii.FIRST["latin", "f"]
+    karl, petrova = re.match(rf"Mrs {anna} met Mr (\w+) \w+ and г-жа (\w+) ", got[1]).groups()
+    assert karl in pii.FIRST["latin", "m"] and petrova in pii.FIRST["cyrillic", "f"]
+    # the same full name with both honorifics is two persons; the same surname alone is one
+    smith = re.match(r"Mr (\w+) met", got[0])[1]
+    kim = re.match(rf"Mrs (\w+) \w+ and Mrs {smith}$", got[3])[1]
+    assert kim in pii.FIRST["latin", "f"]
+    both = [t for _, (t, _) in sorted(replaced(spark, ["Mrs Kim Lee", "Mr Kim Lee", "Mr Kim Lee"]).items())]
+    assert both[0] != both[1] == both[2] and both[1].split()[1] in pii.FIRST["latin", "m"]
