@@ -3,9 +3,12 @@
 A scan cuts a page into blocks at block-level tags and notes each block's
 length, stop-word density and link density, whether it is a heading, and whether
 it stands in the page's article or in a part that is never article (menus, forms,
-adverts, comments, hidden parts, ...). Pass one decides what these tell by
+adverts, comments, hidden parts, ...). Words in classes and ids are hints only: a
+part that holds the page's article or nearly all of its dense text is no menu,
+whatever its class says. Pass one decides what these tell by
 themselves; short or middling blocks stay open. Pass two gives every open block
-the label of its nearest decided neighbours.
+the label of its nearest decided neighbours. Text outside the article is dropped
+where the article outweighs it.
 
 A null page is empty and gives an empty text. Pages are handled one by one, so
 repeated rows and ids need nothing special; other columns pass through.
@@ -43,6 +46,8 @@ HINTS = frozenset(
     "pagination pager menu nav navbar navigation footer masthead topbar toolbar comment comments disqus reply replies respond login signup search tags".split()
 )
 WEAK_HINTS = frozenset({"header"})  # a header inside the article is its own
+#: A class that begins with one of these says what a part has or is about (has-sidebar, tag-search), not what it is.
+MODIFIERS = frozenset("has no with without is tag category cat".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
@@ -58,6 +63,31 @@ class Block:
     heading: bool
     article: bool
     never: bool
+    part: int = 0
+
+
+@dataclass
+class Part:
+    """A part whose class or id holds a hint; the first of a page is the page itself."""
+
+    parent: int = 0
+    firm: bool = True
+    in_article: bool = False
+    own: int = 0  # characters of dense text, outside parts within
+    inside: int = 0  # and in all
+    articles: int = 0  # and in articles that begin in the part
+
+
+def _hinted(attributes: str, in_article: bool) -> bool | None:
+    """Whether a hint in a class or id is more than a modifier; None without hints."""
+    firm = None
+    for found in _ATTR.finditer(attributes):
+        if found[1].lower() in ("class", "id"):
+            for token in (found[2] or found[3] or found[4] or "").split():
+                parts = [p.lower() for p in _PART.findall(token)]
+                if any(p in HINTS or (not in_article and p in WEAK_HINTS) for p in parts):
+                    firm = bool(firm) or parts[0] not in MODIFIERS
+    return firm
 
 
 def _never(name: str, attributes: str, in_article: bool) -> bool:
@@ -67,11 +97,7 @@ def _never(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for found in _ATTR.finditer(attributes):
         key, value = found[1].lower(), (found[2] or found[3] or found[4] or "")
-        if key in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & HINTS or (not in_article and parts & WEAK_HINTS):
-                return True
-        elif key == "role" and value.lower() in ROLES:
+        if key == "role" and value.lower() in ROLES:
             return True
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
@@ -84,8 +110,9 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks that hold text, in order."""
     out: list[Block] = []
     texts: list[str] = []
-    # open elements: name, whether it starts a part that is never article, whether it is an article
-    stack: list[tuple[str, bool, bool]] = []
+    # open elements: name, whether it starts a part that is never article, whether it is an article, the hinted part around it
+    stack: list[tuple[str, bool, bool, int]] = []
+    parts, part = [Part()], 0
     never = article = links = link_chars = 0
     heading = ""
     at, end = 0, len(page)
@@ -94,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal link_chars
         text = " ".join("".join(texts).split())
         if text:
-            out.append(Block(text, min(link_chars, len(text)), bool(heading), article > 0, never > 0))
+            out.append(Block(text, min(link_chars, len(text)), bool(heading), article > 0, never > 0, part))
         texts.clear()
         link_chars = 0
 
@@ -142,9 +169,10 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, bad, good in stack[i:]:
+                    for _, bad, good, _ in stack[i:]:
                         never -= bad
                         article -= good
+                    part = stack[i][3]
                     del stack[i:]
                     break
             continue
@@ -164,14 +192,60 @@ def blocks(page: str) -> list[Block]:
                 continue
             bad = _never(name, attributes, article > 0)
             good = name in ("article", "main")
-            if name not in ("p", "li", "dd", "dt", "option", "tr", "td", "th") or bad:  # these may go unclosed
-                stack.append((name, bad, good))
+            # an article's own class tells its topics; one within an article may be a comment
+            firm = None if name in ("html", "main") or (good and not article) else _hinted(attributes, article > 0)
+            if name not in ("p", "li", "dd", "dt", "option", "tr", "td", "th") or bad or firm is not None:  # these may go unclosed
+                stack.append((name, bad, good, part))
+                if firm is not None:
+                    parts.append(Part(part, firm, article > 0))
+                    part = len(parts) - 1
                 never += bad
                 article += good
     close()
+    if len(parts) > 1:
+        stands = _standing(out, parts)
+        for b in out:
+            b.never = b.never or stands[b.part]
     return out
 
 
+def _standing(found: list[Block], parts: list[Part], least: int = 500, times: int = 10) -> list[bool]:
+    """Whether each part's hints hold: not where the dense text is in the part rather than beside it.
+
+    Beside it is what stands in no other hinted part, or in one whose hints do not hold. Articles in the part count as they
+    are; other text must outweigh what is beside it, by far if the hint is firm, as comments may be longer than the article.
+    """
+    for b in found:
+        if first_pass(b) in ("good", "near"):
+            parts[b.part].own += len(b.text)
+            parts[b.part].inside += len(b.text)
+            if b.article and not parts[b.part].in_article:
+                parts[b.part].articles += len(b.text)
+    within: list[list[int]] = [[] for _ in parts]
+    for i in range(len(parts) - 1, 0, -1):  # parts within come after
+        p = parts[i]
+        around = parts[p.parent]
+        around.inside += p.inside
+        if not around.in_article:
+            around.articles += p.inside if p.in_article else p.articles
+        within[p.parent].append(i)
+    stands = [True] * len(parts)
+    stands[0] = False
+    todo = [(0, 0)]
+    while todo:
+        at, outside = todo.pop()
+        beside, freed = outside + parts[at].own, []
+        for i in sorted(within[at], key=lambda k: (parts[k].firm, k)):
+            p = parts[i]
+            outweighs = p.inside > times * beside and p.inside >= least if p.firm else p.inside > beside
+            if p.articles > beside or outweighs:
+                stands[i] = False
+                beside += p.inside
+                freed.append(i)
+        todo += [(i, beside - parts[i].inside) for i in freed]
+    return stands
+
+
 def stop_density(text: str) -> float:
     found = _WORD.findall(text.lower())
     return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
@@ -237,7 +311,8 @@ def main_text(page: str | None) -> str:
     """The kept blocks, in page order, joined by line feeds."""
     found = blocks(page or "")
     kept = second_pass(found, [first_pass(b) for b in found])
-    if any(k and b.article for k, b in zip(kept, found)):
+    inside, outside = (sum(len(b.text) for k, b in zip(kept, found) if k and b.article == a) for a in (True, False))
+    if inside > outside:
         kept = [k and b.article for k, b in zip(kept, found)]
     return "\n".join(b.text for k, b in zip(kept, found) if k)
 

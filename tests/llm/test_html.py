@@ -37,6 +37,34 @@ def test_large_pages_take_linear_time():
     assert time.time() - began < 30
 
 
+def test_hints_on_what_holds_the_article():
+    body = f"<h1>Head</h1><p>{LONG * 2}</p><p>{LONG * 3}</p>"
+    want = f"Head\n{(LONG * 2).strip()}\n{(LONG * 3).strip()}"
+    junk = f'<div class="related"><article><p>{LONG}</p></article></div><section id="comments"><p>{LONG * 3}</p></section>'
+    for page in (
+        f'<div class="layout has-sidebar"><article>{body}</article>{junk}</div>',
+        f'<html class="nav-closed"><body><article>{body}</article>{junk}</body></html>',
+        f'<article class="post category-social tag-search">{body}<article class="comment"><p>{LONG}</p></article></article>{junk}',
+        f'<main id="search-page">{body}{junk}</main>',
+        f'<div class="navOpen"><div>{body}</div>{junk}</div>',
+        f'<article><div class="entry has-comments">{body}</div>{junk}</article>',
+    ):
+        assert main_text(page) == want, page
+
+
+def test_hints_still_hold_beside_the_article():
+    comments = f'<div class="post-comments"><p>{LONG * 5}</p></div>'
+    assert main_text(f"<div><p>{LONG * 2}</p></div>{comments}") == (LONG * 2).strip()
+    assert main_text(f"<article><p>{LONG}</p></article>{comments}") == LONG.strip()
+    assert main_text(f'<ul><li><a href="/">Home</a></li></ul><div class="cookie-notice"><p>{LONG * 2}</p></div>') == ""
+
+
+def test_teaser_in_an_article_beside_the_page_text():
+    page = f"<div><p>{LONG * 3}</p><p>{LONG * 4}</p></div><article><p>{LONG}</p></article>"
+    assert main_text(page).split("\n")[:2] == [(LONG * 3).strip(), (LONG * 4).strip()]
+    assert main_text(f"<p>{LONG * 2}</p><article><p>{LONG * 3}</p></article>") == (LONG * 3).strip()
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article>a</article>", "own"), (1, "u", "<article>a</article>", "own"), (2, None, None, "own"), (None, "v", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
