@@ -4,7 +4,8 @@ Targets: sources, in code point order with null last, get weights in turn and
 share the budget by them; none gets more than ``most`` times its size, and what
 is cut off is shared again by weight. A source's rows are dealt to blocks by a
 hash of doc_id. A target is whole passes over the source's blocks, then blocks in
-permuted order, then rows of one last block chosen to come near the target: these
+permuted order, then rows of one last block chosen to come near the target (if that
+block holds a document long beside it, blocks without take its turn where they suffice): these
 are the source's block quotas. A tree over the output shards splits the quotas
 exactly: at each node the left half draws its share of every source from the
 multivariate hypergeometric distribution, seeded by the node. A shard walks its
@@ -73,12 +74,31 @@ def split_quotas(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tupl
 
 
 def fill(sizes: np.ndarray, room: float, tail: int = 64) -> np.ndarray:
-    """Mask of the items taken: a prefix, then the subset of the next ``tail`` items that comes nearest to the room left."""
+    """Mask of the items taken, which come near to the room: those that fit in turn, then the best subset of ``tail`` others.
+
+    Where room stays, items too long for their turn are tried first in turn, and the fullest choice is returned.
+    """
     sizes = np.asarray(sizes, np.int64)
-    slack = sizes.mean() * tail / 4 if len(sizes) else 0
-    taken = np.cumsum(sizes) <= room - slack
-    left = int(room - sizes[taken].sum())
-    open_ = np.flatnonzero(~taken)[:tail].tolist()
+    best = _fill(sizes, room, tail, None)
+    for i in np.flatnonzero(~best & (sizes <= room))[:tail]:
+        if sizes[best].sum() >= int(room):
+            break
+        other = _fill(sizes, room, tail, int(i))
+        if sizes[other].sum() > sizes[best].sum():
+            best = other
+    return best
+
+
+def _fill(sizes: np.ndarray, room: float, tail: int, first: int | None) -> np.ndarray:
+    taken, left = np.zeros(len(sizes), bool), int(room)
+    if first is not None:
+        taken[first], left = True, left - int(sizes[first])
+    fit = sizes[sizes <= left]
+    slack = fit.mean() * tail / 4 if len(fit) else 0
+    for i, size in enumerate(sizes.tolist()):
+        if not taken[i] and size <= left - slack:
+            taken[i], left = True, left - size
+    open_ = np.flatnonzero(~taken & (sizes <= left))[:tail].tolist()
     sums, keep = [1], (1 << (left + 1)) - 1  # bit k of sums[i]: the first i open items can make k
     for i in open_:
         sums.append((sums[-1] | sums[-1] << int(sizes[i])) & keep)
@@ -125,13 +145,13 @@ class Mix:
 
     def _plan_blocks(self, id_type: str) -> None:
         rows = self.placed(self.rows)
-        blocks = rows.groupBy("source_at", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
+        blocks = rows.groupBy("source_at", "block").agg(F.sum("size").alias("words"), F.max("size").alias("longest"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
         upto = Window.partitionBy("source_at").orderBy(self._order("last", F.col("source_at"), F.col("block")), "block")
         blocks = blocks.withColumn("rank", F.row_number().over(upto)).withColumn("end", F.sum("words").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
         begin = F.col("end") - F.col("words")
         blocks = blocks.withColumn("whole", (F.col("rest") > 0) & (F.col("end") <= F.col("rest")))
         blocks = blocks.withColumn("part", (F.col("rest") > begin) & (F.col("end") > F.col("rest"))).withColumn("room", F.col("rest") - begin)
-        self.blocks = materialize(blocks, "mix-blocks")
+        self.blocks = materialize(self._edge_moved(blocks), "mix-blocks")
 
         edge = rows.join(self.blocks.where("part").select("source_at", "block", "room"), ["source_at", "block"])
         edge = edge.groupBy("source_at", "room", "doc_id", "size").agg((F.count("*") * F.col("size")).alias("all_"))
@@ -144,6 +164,34 @@ class Mix:
         chosen = edge.groupBy("source_at").applyInPandas(choose, f"source_at int, doc_id {id_type}, size long")
         self.chosen = materialize(chosen, "mix-chosen")
 
+    def _edge_moved(self, blocks: DataFrame, times: int = 16) -> DataFrame:
+        """A last block with a document longer than one ``times``-th of it leaves its turn to blocks without.
+
+        It is taken whole, as often as its share of the room, and blocks before it give up as much; or it is left out, and
+        blocks after it fill the room. The last of these is chosen row by row. Where neither is enough, it stays.
+        """
+        of_source = Window.partitionBy("source_at")
+        blocks = blocks.withColumn("even", F.col("longest") * times <= F.col("words"))
+        blocks = blocks.withColumn("edge", F.max(F.when(F.col("part"), F.struct("rank", "words", "room", "even"))).over(of_source))
+        rank, words, room = (F.col(f"edge.{k}") for k in ("rank", "words", "room"))
+        before, after = F.col("even") & (F.col("rank") < rank), F.col("even") & (F.col("rank") > rank)
+        upto = of_source.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+        summed = lambda which, over: F.coalesce(F.sum(F.when(which, F.col("words"))).over(over), F.lit(0))
+        blocks = blocks.withColumns({"given": summed(before, upto), "filled": summed(after, upto)})
+        gives, fills = summed(before, of_source) >= words - room, summed(after, of_source) >= room
+        drawn = F.pmod(self._order("edge whole", F.col("source_at")), F.lit(1 << 20)) < room / words * (1 << 20)
+        keep = F.when(F.col("edge.even"), None).when(gives & fills, drawn).when(gives, True).when(fills, False)
+        blocks = blocks.withColumn("keep", keep)
+        changes = F.coalesce(F.when(F.col("keep"), before).otherwise(after), F.lit(False)) & F.col("keep").isNotNull()
+        need, sum_ = F.when(F.col("keep"), words - room).otherwise(room), F.when(F.col("keep"), F.col("given")).otherwise(F.col("filled"))
+        last = changes & (sum_ - F.col("words") < need) & (sum_ > need)
+        old = F.col("keep").isNotNull() & (F.col("rank") == rank)
+        return blocks.withColumns({
+            "part": F.when(old, False).when(last, True).otherwise(F.col("part")),
+            "whole": F.when(old, F.col("keep")).when(last, False).when(changes & (sum_ <= need), ~F.col("keep")).otherwise(F.col("whole")),
+            "room": F.when(last, F.when(F.col("keep"), sum_ - need).otherwise(need - sum_ + F.col("words"))).otherwise(F.col("room")),
+        }).drop("edge", "longest", "even", "given", "filled", "keep")
+
     def instances(self) -> DataFrame:
         """source_at, block, copy, partial, shard: every drawing of a block, with the shard that gets it."""
         copies = self.blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes"))))

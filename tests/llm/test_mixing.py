@@ -98,3 +98,28 @@ def test_targets_are_met(small):
         by.setdefault(r["source"], []).append(r)
     for rows in by.values():
         assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 0.02 * rows[0]["target"]
+
+
+def test_fill_with_one_long_item():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        sizes = rng.integers(100, 300, 256)
+        sizes[rng.integers(256)] = long = int(rng.choice([20_000, 60_000]))
+        room, rest = int(rng.integers(0, sizes.sum())), int(sizes.sum()) - long
+        reached = max(min(room, rest), min(room, rest + long) if room >= long else 0)  # without the long item, or with it
+        assert reached - 2 <= sizes[mixing.fill(sizes, room)].sum() <= room
+
+
+def test_long_documents_do_not_spoil_targets(spark):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(100, 300, 2600)
+    sizes[rng.choice(2600, 4, replace=False)] = 60_000
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * int(n)) for i, n in enumerate(sizes)], "doc_id long, source string, text string").cache()
+    misses = []
+    for share in (0.9, 1.1, 1.2, 1.3):
+        mix = mixing.Mix(docs, share=share, block_words=30_000)
+        got = Counter()
+        for r in mix.draw(mix.rows).collect():
+            got[r["source"]] += r["size"]
+        misses += [abs(got[r["source"]] - r["target"]) for r in mix.sources.collect()]
+    assert max(misses) <= 2, misses
