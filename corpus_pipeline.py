@@ -58,10 +58,10 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, written by output shard in the shard's shuffled order."""
     plan = mixing.Mix(docs)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return plan.draw(rows).select("row.*")
+    return plan.shuffled(rows).sortWithinPartitions("shard", "place").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,12 +235,15 @@ class Mix:
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken words of every row of ``docs``."""
+    """doc_id, size, source_size, target, taken words, and shard and place of the first copy, of every row of ``docs``.
+
+    Rows alike in source, doc_id and size have one place; shard and place are null where none is taken.
+    """
     mix = Mix(docs, **options)
     # rows alike in source, doc_id and size are drawn alike
     keys = ["source", "doc_id", "size"]
-    drawn = mix.shuffled(mix.rows.distinct()).groupBy(*keys).agg(F.sum("size").alias("taken"))
+    drawn = mix.shuffled(mix.rows.distinct()).groupBy(*keys).agg(F.sum("size").alias("taken"), F.min(F.struct("copy", "shard", "place")).alias("first"))
     drawn = drawn.withColumnsRenamed({k: f"{k}_" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
     joined = mix.placed(mix.rows).select("source", "doc_id", "size", "source_size", "target").join(drawn, same, "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first.shard", "first.place")

@@ -123,3 +123,24 @@ def test_long_documents_do_not_spoil_targets(spark):
             got[r["source"]] += r["size"]
         misses += [abs(got[r["source"]] - r["target"]) for r in mix.sources.collect()]
     assert max(misses) <= 2, misses
+
+
+def test_rows_have_shards_and_places(small):
+    places = defaultdict(set)
+    for r in mixing.taken(small, block_words=2000, block_rows=4, blocks_per_shard=4).collect():
+        assert (r["place"] is None) == (r["shard"] is None) == (r["taken"] == 0)
+        if r["place"]:
+            assert r["place"] not in places[r["shard"]]
+            places[r["shard"]].add(r["place"])
+    assert len(places) > 2
+
+
+def test_pipeline_writes_shards_in_shuffled_order(spark, small):
+    import corpus_pipeline
+
+    rows = small.select(F.struct(*small.columns).alias("row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    want = defaultdict(list)
+    for r in mixing.Mix(small).shuffled(rows).select("doc_id", "shard", "place").orderBy("shard", "place").collect():
+        want[r["shard"]].append(r["doc_id"])
+    got = [r["doc_id"] for r in corpus_pipeline.mix(spark, small, "").collect()]
+    assert any(got[i : i + len(want[0])] == want[0] for i in range(len(got))) and sorted(got) == sorted(i for w in want.values() for i in w)
