@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm import jaccard, mixing, packing, pii, quality_model
 from lodeweave.llm.queries import PII_KEY, vocabulary
-from lodeweave.llm.storage import bound_batches, materialize, trim_heaps
+from lodeweave.llm.storage import bound_batches, materialize, new_path, ref, scope
 from lodeweave.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,35 +33,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of 75 percent Jaccard similarity on five-word shingles: its smallest doc_id.
+    """One row of each component of 75 percent Jaccard similarity on five-word shingles: that of its smallest doc_id.
 
-    Wordless texts are in no component and stay. Rows alike in id and text become
-    one; an id that names several texts stays if it is the smallest for one of them.
+    Rows without an id come last, and rows of one id are told apart by their place in the order of texts. Wordless
+    texts are in no component and stay.
     """
-    found = jaccard.join(docs).where("n_shingles > 0 and doc_id is not null")
-    seen = found.groupBy("doc_id").agg(F.max("component_id").alias("first"), F.count("*").alias("rows_")).withColumnRenamed("doc_id", "seen_id_")
-    seen = materialize(seen.where("first < seen_id_ or rows_ > 1"), "seen")  # far fewer ids than stay
-    same = F.col("doc_id") == F.col("seen_id_")
-    left = docs.join(seen.where("first < seen_id_"), same, "left_anti")
-    twice = seen.where("first = seen_id_")
-    if twice.isEmpty():
-        return left
-    once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, same, "left_anti").unionByName(once)
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
+    if odd.isEmpty():
+        rows, mark = docs, "doc_id"
+    else:  # ids that name no row: rows are numbered in the order of their ids
+        rows = docs.select(F.struct(*[F.col(ref(c)) for c in docs.columns]).alias("row"), "doc_id", "text").orderBy(F.asc_nulls_last("doc_id"), "text")
+        rows = materialize(rows.select("row", "text", F.monotonically_increasing_id().alias("mark")), "numbered")
+        mark = "mark"
+    found = jaccard.join(rows.select(F.col(mark).alias("doc_id"), "text"))
+    gone = materialize(found.where("n_shingles > 0 and component_id < doc_id").select(F.col("doc_id").alias("gone_id_")), "gone")  # far fewer than stay
+    left = rows.join(gone, F.col(mark) == F.col("gone_id_"), "left_anti")
+    return left if mark == "doc_id" else left.select("row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities replaced by surrogates; n_chars follows the new text."""
-    columns = docs.columns
-    replaced = pii.replace_entities(docs, key=PII_KEY)
-    return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
+    replaced = pii.replace_entities(docs, key=PII_KEY, kinds=None)
+    return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, written by output shard in the shard's shuffled order."""
     plan = mixing.Mix(docs)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return plan.shuffled(rows).sortWithinPartitions("shard", "place").select("row.*")
+    return plan.shuffled(mixing.keyed(docs)).sortWithinPartitions("shard", "place").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,12 +69,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _prepared(stage: Stage) -> Stage:
-    """The stage, after sending the code to the executors, bounding Arrow batches and shrinking heaps."""
+    """The stage, after sending the code to the executors and bounding Arrow batches."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
         bound_batches(spark)
-        trim_heaps(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -91,8 +89,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of the last."""
+    """All stages over ``documents``; the result of the last. Of a stage, its result alone stays in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scope(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", path)
     return docs

@@ -12,12 +12,14 @@ multivariate hypergeometric distribution, seeded by the node. A shard walks its
 own path alone, so no task holds the tree. Sources' blocks, permuted anew for
 each pass, go to the shards in runs, and each shard shuffles its rows.
 
-One row per source comes to the driver. A source has at most ``max_blocks``
-blocks, so ranking its blocks is a bounded window however hot the source.
-
-A null text has size 0. Null sources are one source. Rows alike in source,
-doc_id and size are taken or left together, so reruns agree. Empty tables give
-empty results.
+One row per source comes to the driver, for ``max_sources`` sources at most; more
+are an error. A source has at most ``max_blocks`` blocks, so ranking its blocks is a
+bounded window however hot the source.
+
+A null text has size 0. Null sources are one source. A row is told by its source,
+doc_id, a hash of its text, and among rows alike in these by a number; so each
+repeat is drawn on its own, and reruns agree on how often each is taken. Other columns
+are not read, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.quality_rules import words_of
-from lodeweave.llm.storage import materialize
+from lodeweave.llm.storage import materialize, ref
 
+#: What tells a row of a source.
+TOLD = ["doc_id", "mark", "twin"]
 SOURCES = "source string, source_at int, source_size long, target double, passes int, rest double, n_blocks long"
 
 
@@ -39,6 +43,13 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(F.coalesce(text, F.lit("")))).cast("long")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows of docs as ``row``, with what a mix tells them by: doc_id, source, size and mark, the hash of the text."""
+    source = F.col("source").cast("string").alias("source")
+    row = F.struct(*[F.col(ref(c)).alias(c) for c in docs.columns]).alias("row")
+    return docs.select(row, "doc_id", source, word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
+
+
 def share_out(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
     """Targets in proportion to weights, none above ``most`` times its size; the excess is shared again."""
     targets, open_, left = [0.0] * len(sizes), list(range(len(sizes))), budget
@@ -115,13 +126,17 @@ class Mix:
 
     def __init__(
         self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        block_words: int = 65_536, block_rows: int = 256, max_blocks: int = 65_536, blocks_per_shard: int = 64, seed: int = 23,
+        block_words: int = 65_536, block_rows: int = 256, max_blocks: int = 65_536, blocks_per_shard: int = 64, max_sources: int = 200_000, seed: int = 23,
     ):
         self.spark, self.seed, self.blocks_per_shard = docs.sparkSession, seed, blocks_per_shard
         id_type = docs.schema["doc_id"].dataType
-        rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-        self.rows = materialize(rows, "mix-rows")
-        found = self.rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # a row per source
+        rows = materialize(keyed(docs).drop("row"), "mix-rows")
+        twins = rows.groupBy("source", "doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        self.twins = None if twins.isEmpty() else materialize(twins, "mix-twins").withColumnsRenamed({k: f"{k}_" for k in twins.columns})
+        self.rows = rows if self.twins is None else materialize(self._numbered(rows), "mix-rows")
+        found = self.rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()  # a row per source
+        if len(found) > max_sources:
+            raise ValueError(f"more than max_sources={max_sources} sources")
         found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
         sizes = [r["n"] for r in found]
         weight = [float(weights[i % len(weights)]) for i in range(len(found))]
@@ -137,11 +152,27 @@ class Mix:
     def _order(self, *parts) -> Column:
         return F.xxhash64(F.lit(self.seed), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
+    def _of_row(self, *parts) -> Column:
+        """A hash of a row's doc_id; rows without one, and further ones of one doc_id and text, differ by mark and twin."""
+        alone = F.col("doc_id").isNotNull() & (F.col("twin") == 0)
+        return F.when(alone, self._order(parts[0], F.col("doc_id"), *parts[1:])).otherwise(self._order(*parts, *map(F.col, TOLD)))
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """Add ``twin``, a number that tells rows alike in source, doc_id and text apart, unless it is there."""
+        if "twin" in rows.columns:
+            return rows
+        if self.twins is None:
+            return rows.withColumn("twin", F.lit(0))
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in ("source", "doc_id", "mark")]
+        own = Window.partitionBy("source", "doc_id", "mark").orderBy("size")
+        several = rows.join(self.twins, same, "left_semi").withColumn("twin", F.row_number().over(own) - 1)
+        return rows.join(self.twins, same, "left_anti").withColumn("twin", F.lit(0)).unionByName(several)
+
     def placed(self, rows: DataFrame) -> DataFrame:
-        """Add the source's plan and the block to rows with doc_id, source and size."""
+        """Add the source's plan and the block to rows with doc_id, source, size and mark."""
         plan = self.sources.withColumnRenamed("source", "source_")
-        joined = rows.join(plan, F.col("source").cast("string").eqNullSafe(F.col("source_"))).drop("source_")
-        return joined.withColumn("block", F.pmod(self._order("block", F.col("doc_id")), F.col("n_blocks")))
+        joined = self._numbered(rows).join(plan, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+        return joined.withColumn("block", F.pmod(self._of_row("block"), F.col("n_blocks")))
 
     def _plan_blocks(self, id_type: str) -> None:
         rows = self.placed(self.rows)
@@ -154,14 +185,13 @@ class Mix:
         self.blocks = materialize(self._edge_moved(blocks), "mix-blocks")
 
         edge = rows.join(self.blocks.where("part").select("source_at", "block", "room"), ["source_at", "block"])
-        edge = edge.groupBy("source_at", "room", "doc_id", "size").agg((F.count("*") * F.col("size")).alias("all_"))
-        edge = edge.withColumn("turn", self._order("edge", F.col("doc_id"), F.col("size")))
+        edge = edge.select("source_at", "room", *TOLD, "size", self._of_row("edge", F.col("size")).alias("turn"))
 
-        def choose(pdf):
-            pdf = pdf.sort_values(["turn", "size"], kind="stable").reset_index(drop=True)
-            return pdf[fill(pdf["all_"].to_numpy(np.float64), float(pdf["room"].iloc[0]))][["source_at", "doc_id", "size"]]
+        def choose(pdf):  # a block's rows at most
+            pdf = pdf.sort_values(["turn", "size", "twin"], kind="stable").reset_index(drop=True)
+            return pdf[fill(pdf["size"].to_numpy(np.float64), float(pdf["room"].iloc[0]))][["source_at", *TOLD]]
 
-        chosen = edge.groupBy("source_at").applyInPandas(choose, f"source_at int, doc_id {id_type}, size long")
+        chosen = edge.groupBy("source_at").applyInPandas(choose, f"source_at int, doc_id {id_type}, mark long, twin int")
         self.chosen = materialize(chosen, "mix-chosen")
 
     def _edge_moved(self, blocks: DataFrame, times: int = 16) -> DataFrame:
@@ -217,33 +247,33 @@ class Mix:
         return numbered.join(walked, ["source_at", "at"]).drop("at")
 
     def draw(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with doc_id, source and size) once for each time that the mix takes them, with copy and shard."""
-        columns = rows.columns
+        """``rows`` (with doc_id, source, size and mark) once for each time that the mix takes them, with twin, copy and shard."""
+        columns = [c for c in rows.columns if c != "twin"]
         # stored, its size is known before rows move: where it is small they stay in place
         instances = materialize(self.instances(), "mix-instances")
-        drawn = self.placed(rows).select(*columns, "source_at", "block").join(instances, ["source_at", "block"])
-        picked = self.chosen.withColumn("picked", F.lit(True)).withColumnsRenamed({"doc_id": "doc_id_", "size": "size_", "source_at": "source_at_"})
-        same = (F.col("source_at") == F.col("source_at_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("size") == F.col("size_"))
+        drawn = self.placed(rows).select(*columns, "twin", "source_at", "block").join(instances, ["source_at", "block"])
+        picked = self.chosen.withColumnsRenamed({k: f"{k}_" for k in self.chosen.columns})
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in self.chosen.columns]
         whole = drawn.where(~F.col("partial"))
         part = drawn.where("partial").join(picked, same, "left_semi")
-        return whole.unionByName(part).select(*columns, "copy", "shard")
+        return whole.unionByName(part).select(*columns, "twin", "copy", "shard")
 
     def shuffled(self, rows: DataFrame) -> DataFrame:
         """The drawn rows with their place in the shard's own permutation."""
-        place = Window.partitionBy("shard").orderBy(self._order("place", F.col("shard"), F.col("doc_id"), F.col("copy")), "doc_id", "size", "copy")
+        place = Window.partitionBy("shard").orderBy(self._order("place", F.col("shard"), self._of_row("row"), F.col("copy")), "doc_id", "mark", "twin", "copy")
         return self.draw(rows).withColumn("place", F.row_number().over(place))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken words, and shard and place of the first copy, of every row of ``docs``.
 
-    Rows alike in source, doc_id and size have one place; shard and place are null where none is taken.
+    Shard and place are null where none is taken.
     """
     mix = Mix(docs, **options)
-    # rows alike in source, doc_id and size are drawn alike
-    keys = ["source", "doc_id", "size"]
-    drawn = mix.shuffled(mix.rows.distinct()).groupBy(*keys).agg(F.sum("size").alias("taken"), F.min(F.struct("copy", "shard", "place")).alias("first"))
+    keys = ["source", *TOLD]
+    rows = mix._numbered(mix.rows)
+    drawn = mix.shuffled(rows).groupBy(*keys).agg(F.sum("size").alias("taken"), F.min(F.struct("copy", "shard", "place")).alias("first"))
     drawn = drawn.withColumnsRenamed({k: f"{k}_" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
-    joined = mix.placed(mix.rows).select("source", "doc_id", "size", "source_size", "target").join(drawn, same, "left")
+    joined = mix.placed(rows).select(*keys, "size", "source_size", "target").join(drawn, same, "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first.shard", "first.place")

@@ -7,20 +7,21 @@ maximisation runs on the table of vote patterns: a row per pattern seen, at most
 the driver. The learnt log odds go back into the plan as constants.
 
 Null texts count as empty. Repeated rows and ids are judged row by row. An empty
-table gives an empty result. Repeated three-word windows are found by a hash
-that shares 64 bits with the window's position, so a text of w words compares
-64 - log2(w) bits; two different windows of one text meet with a chance below
-w * w / 2 ** (64 - log2(w)).
+table gives an empty result. Columns but doc_id and text are not read, whatever
+their names. Repeated three-word windows are found by sorting 64-bit hashes and
+comparing the words of neighbours, at any length of the text.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.llm.permute import let
 from lodeweave.llm.storage import BLANKS, materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -35,11 +36,6 @@ STOP_WORDS = (
 PLAIN_END = r"\p{Ll}[.,;:?]?(?=[\x20\x09-\x0D]|\z)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     """Runs of anything but the six ASCII blanks."""
     bare = F.btrim(text, F.lit(BLANKS))
@@ -51,25 +47,28 @@ def _without(text: Column, letters: str) -> Column:
 
 
 def repeated_words(words: Column, window: int = 3) -> Column:
-    """Words that lie in a window of ``window`` words found at least twice in the text."""
+    """Words that lie in a window of ``window`` words found at least twice in the text.
+
+    Windows are sorted by a 64-bit hash with their places. Windows of one hash are compared word by word with the
+    first of them, so that a hash shared by chance counts as a repeat only if the words are the same.
+    """
 
-    def windows(w: Column, bits: Column) -> Column:
+    def windows(w: Column) -> Column:
         hashed = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)])
-        packed = lambda i: F.call_function("shiftleft", hashed(i), bits).bitwiseOR(i.cast("long"))
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - window), packed))
-
-    def covered(sorted_: Column, bits: Column) -> Column:
-        high = lambda x: F.call_function("shiftright", x, bits)
-        same = lambda x, i: F.coalesce(high(F.get(sorted_, i)) == high(x), F.lit(False))
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        again = F.filter(sorted_, lambda x, i: same(x, i - 1) | same(x, i + 1))
-        places = F.transform(again, lambda x: x.bitwiseAND(mask))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
+
+    def covered(w: Column, sorted_: Column) -> Column:
+        def same(x: Column, other: Column) -> Column:
+            alike = (other["h"] == x["h"]) & (reduce(lambda a, b: a & b, [F.get(w, other["i"] + k) == F.get(w, x["i"] + k) for k in range(window)]))
+            return F.coalesce(alike, F.lit(False))
+
+        again = F.filter(sorted_, lambda x, i: same(x, F.get(sorted_, i - 1)) | same(x, F.get(sorted_, i + 1)))
+        places = F.transform(again, lambda x: x["i"])
         moved = lambda p, k: F.transform(p, lambda x: x + F.lit(k))
         spread = lambda p: F.concat(*[moved(p, k) for k in range(window)])
         return let(places, lambda p: F.size(F.array_distinct(spread(p))))
 
-    whole = lambda w: let(F.length(F.bin(F.size(w).cast("long"))), lambda bits: let(windows(w, bits), lambda s: covered(s, bits)))
-    return F.when(F.size(words) <= window, F.lit(0)).otherwise(whole(words))
+    return F.when(F.size(words) <= window, F.lit(0)).otherwise(let(windows(words), lambda s: covered(words, s)))
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:

@@ -138,9 +138,45 @@ def test_rows_have_shards_and_places(small):
 def test_pipeline_writes_shards_in_shuffled_order(spark, small):
     import corpus_pipeline
 
-    rows = small.select(F.struct(*small.columns).alias("row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     want = defaultdict(list)
-    for r in mixing.Mix(small).shuffled(rows).select("doc_id", "shard", "place").orderBy("shard", "place").collect():
+    for r in mixing.Mix(small).shuffled(mixing.keyed(small)).select("doc_id", "shard", "place").orderBy("shard", "place").collect():
         want[r["shard"]].append(r["doc_id"])
     got = [r["doc_id"] for r in corpus_pipeline.mix(spark, small, "").collect()]
     assert any(got[i : i + len(want[0])] == want[0] for i in range(len(got))) and sorted(got) == sorted(i for w in want.values() for i in w)
+
+
+def test_repeats_are_drawn_one_by_one(spark):
+    """A thousand rows without an id, alike in size: each is taken on its own, so the target is met."""
+    rows = [(None, f"w{i} " * 10, "t") for i in range(500)] + [(None, "same " * 10, "t")] * 250 + [(7, "again " * 10, "t")] * 250 + [(i, "x " * 20, "u") for i in range(100, 433)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(docs, weights=(3, 1)).collect()
+    assert len(got) == len(rows)
+    for size in (10, 20):
+        own = [r for r in got if r["size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < size and all(r["taken"] in (0, size, 2 * size) for r in own)
+    again = mixing.taken(docs.repartition(5), weights=(3, 1)).collect()
+    told = lambda rows_: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rows_)
+    assert told(got) == told(again)
+
+
+def test_place_takes_effect(spark, small):
+    plan = mixing.taken(small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "place" in plan and "row_number" in plan
+
+
+def test_too_many_sources(spark, small):
+    with pytest.raises(ValueError):
+        mixing.Mix(small, max_sources=3)
+
+
+def test_taken_by_brute_force(spark, small):
+    """Each row's words times the copies of its block, counted from the shards' lists, and the rows picked of the last block."""
+    mix = mixing.Mix(small, block_words=2000, block_rows=4)
+    blocks = {(r["source_at"], r["block"]): r for r in mix.blocks.collect()}
+    chosen = {(r["source_at"], r["doc_id"]) for r in mix.chosen.collect()}
+    want = {}
+    for r in mix.placed(mix.rows).collect():
+        b = blocks[r["source_at"], r["block"]]
+        times = r["passes"] + (b["whole"] or (b["part"] and (r["source_at"], r["doc_id"]) in chosen))
+        want[r["doc_id"]] = times * r["size"]
+    assert {r["doc_id"]: r["taken"] for r in mixing.taken(small, block_words=2000, block_rows=4).collect()} == want

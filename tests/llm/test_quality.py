@@ -118,3 +118,11 @@ def test_statistics_do_not_depend_on_the_batch():
     whole = quality_model.statistics(pa.array(texts))
     parts = np.vstack([quality_model.statistics(pa.array(["pad"] + texts, pa.string()).slice(i + 1, 1)) for i in range(len(texts))])
     assert np.allclose(whole, parts)
+
+
+def test_windows_of_millions_of_words(spark):
+    """Distinct words have no repeated window at any length; one planted repeat is found."""
+    made = spark.range(1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 4300000), x -> concat('w', hex(x))), ' ') AS text")
+    more = made.selectExpr("doc_id + 1 AS doc_id", "concat(text, ' w1 w2 w3') AS text")
+    got = {r["doc_id"]: r["n"] for r in made.unionByName(more).select("doc_id", quality_rules.repeated_words(quality_rules.words_of(F.col("text"))).alias("n")).collect()}
+    assert got == {0: 0, 1: 6}
