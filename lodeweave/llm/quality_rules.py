@@ -68,7 +68,8 @@ def repeated_words(words: Column, window: int = 3) -> Column:
         spread = lambda p: F.concat(*[moved(p, k) for k in range(window)])
         return let(places, lambda p: F.size(F.array_distinct(spread(p))))
 
-    return F.when(F.size(words) <= window, F.lit(0)).otherwise(let(windows(words), lambda s: covered(words, s)))
+    whole = lambda w: F.when(F.size(w) <= window, F.lit(0)).otherwise(let(windows(w), lambda s: covered(w, s)))
+    return let(words, whole)
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
