@@ -6,7 +6,12 @@ image's tile as NPY bytes with its difference hash.
 
 ``text_payload`` turns a text column into images that hold its UTF-8 bytes
 without loss: rows of 64 samples, padded with bytes 0. A null or empty text is
-one row of zeros. Other columns of a table pass through untouched.
+one row of zeros. ``tile_images`` lets all other columns pass, but those called like
+its own results; ``text_media`` reads doc_id and text alone.
+
+An image that is null, corrupt, of no size or of an unknown form has a row whose
+results are null but for the size and digest of its bytes. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.storage import materialize
+from lodeweave.llm.storage import materialize, ref
 
 WIDTH = 64
 TILES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
@@ -56,8 +61,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = 1 - np.unpackbits(rows, axis=1)[:, :width].ravel()
     else:
         flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, count, at + 1)
-    if len(flat) != count:
-        raise ValueError("truncated Netpbm samples")
+    if len(flat) != count or not count:
+        raise ValueError("truncated or empty Netpbm samples")
     flat = flat.astype(np.uint16 if top > 255 else np.uint8, copy=False)
     return flat.reshape((height, width, 3) if channels == 3 else (height, width))
 
@@ -77,19 +82,22 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 bits (through its palette), 24 or 32 bits; grey palettes give one channel."""
+    """Uncompressed BMP of 1, 4 or 8 bits (through its palette), 24 or 32 bits; grey palettes give one channel."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, info = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     width, height, _, depth, packed = struct.unpack_from("<iiHHI", data, 18)
-    if packed or depth not in (8, 24, 32):
-        raise ValueError("unsupported BMP")
-    used = struct.unpack_from("<I", data, 46)[0] or 256
+    if packed or depth not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+        raise ValueError("unsupported or empty BMP")
+    used = struct.unpack_from("<I", data, 46)[0] or 1 << min(depth, 8)
     step = depth // 8
-    stride = (width * step + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, abs(height) * stride, start).reshape(abs(height), stride)[:, : width * step]
+    stride = (width * depth + 31) // 32 * 4
+    rows = np.frombuffer(data, np.uint8, abs(height) * stride, start).reshape(abs(height), stride)
+    if depth < 8:  # several samples a byte, the highest bits first
+        rows = np.unpackbits(rows, axis=1).reshape(abs(height), -1, depth) @ (1 << np.arange(depth - 1, -1, -1, dtype=np.uint8))
+    rows = rows[:, : width * max(step, 1)]
     rows = rows[::-1] if height > 0 else rows
-    if depth == 8:
+    if depth <= 8:
         palette = np.frombuffer(data, np.uint8, used * 4, 14 + info).reshape(-1, 4)[:, :3]
         if (palette == palette[:, :1]).all():
             return palette[:, 0][rows]
@@ -152,27 +160,39 @@ def text_payload(text: Column, width: int = WIDTH) -> tuple[Column, Column]:
     return n, F.concat(F.encode(head, "UTF-8"), body)
 
 
+def tiled(media: bytes | None, side: int) -> tuple:
+    """TILES of one image but its n_bytes."""
+    if media is None:
+        return (None,) * 7
+    stored = (len(media), hashlib.sha256(media).hexdigest())
+    try:
+        samples = decode(media)
+        tile = np.clip(np.rint(area_resize(grey(samples), side, side)), 0, 255).astype(np.uint8)
+    except (ValueError, IndexError, OverflowError, struct.error):  # no image that can be read
+        return (None, None, None, *stored, None, None)
+    payload = samples.tobytes()
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, difference_hash(samples), npy(tile))
+
+
 def tile_images(images: DataFrame, side: int = 16) -> DataFrame:
     """images: key columns, then n_bytes and media. Adds TILES to the key columns; media itself is dropped."""
-    keys = [f for f in images.schema.fields if f.name not in ("n_bytes", "media")]
-    names = [f.name for f in keys]
     tiles = [x.split()[0] for x in TILES.split(", ")]
+    keys = [f for f in images.schema.fields if f.name not in (*tiles, "media")]
+    names = [f.name for f in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, out = batch.column("n_bytes").to_pylist(), []
             for n, media in zip(lengths, batch.column("media")):
-                data = memoryview(media.as_buffer())
-                samples = decode(bytes(data))
-                payload = samples.tobytes()
-                tile = np.clip(np.rint(area_resize(grey(samples), side, side)), 0, 255).astype(np.uint8)
-                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(samples), npy(tile)))
+                out.append((n, *tiled(media.as_py(), side)))
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
-            yield pa.record_batch([*(batch.column(c) for c in names), *columns], [*names, *tiles])
+            yield pa.record_batch([*(batch.column(c) for c in plain), *columns], [*plain, *tiles])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), TILES])
-    return images.select(*names, "n_bytes", "media").mapInArrow(run, schema)
+    plain = [f"key{i}" for i in range(len(names))]  # Arrow functions do not take names with dots
+    schema = ", ".join([*(f"{p} {f.dataType.simpleString()}" for p, f in zip(plain, keys)), TILES])
+    rows = images.select(*[F.col(ref(n)).alias(p) for n, p in zip(names, plain)], "n_bytes", "media")
+    return rows.mapInArrow(run, schema).toDF(*names, *tiles)
 
 
 def text_media(docs: DataFrame) -> DataFrame:

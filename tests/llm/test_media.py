@@ -1,3 +1,4 @@
+import struct
 import hashlib
 import io
 import zlib
@@ -82,3 +83,28 @@ def test_tiles_keep_other_columns(spark):
 def test_empty(empty):
     assert media.text_media(empty).count() == 0
     assert media.text_media(empty.select("doc_id", F.col("text"))).columns[0] == "doc_id"
+
+
+def test_unreadable_images_have_null_results(spark):
+    good = media.encode_bmp(np.arange(48, dtype=np.uint8).reshape(6, 8))
+    bad = [None, b"", b"P5", b"P5 4 4 255\n123", b"BM" + b"x" * 20, b"P5 0 0 255\n", b"P2 2 2 255 a b c d", b"P5 9999999 9999999 255\n1", good[:60], b"\x89PNG...."]
+    rows = [(i, "own", x) for i, x in enumerate([good, *bad])]
+    df = spark.createDataFrame(rows, "id long, `a.b` string, media binary").withColumn("n_bytes", F.lit(3).cast("long"))
+    got = {r["id"]: r for r in media.tile_images(df).collect()}
+    assert got[0]["payload_bytes"] == 48 and got[0]["feature"] and got[0]["a.b"] == "own"
+    for i, x in enumerate(bad, 1):
+        assert got[i]["payload_bytes"] is got[i]["feature"] is got[i]["tile"] is None
+        assert got[i]["media_bytes"] == (None if x is None else len(x))
+
+
+@pytest.mark.parametrize("depth", [1, 4])
+def test_bmp_of_few_bits(depth):
+    rng = np.random.default_rng(depth)
+    samples = rng.integers(0, 1 << depth, (5, 13))
+    bits = np.unpackbits(samples.astype(np.uint8)[..., None], axis=2)[..., 8 - depth :].reshape(5, -1)
+    stride = (13 * depth + 31) // 32 * 4
+    rows = np.packbits(np.pad(bits, ((0, 0), (0, stride * 8 - bits.shape[1]))), axis=1)[::-1]
+    palette = b"".join(bytes([v * 15, v * 15, v * 15, 0]) for v in range(1 << depth))
+    start = 54 + len(palette)
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + rows.size, 0, 0, start, 40, 13, 5, 1, depth, 0, rows.size, 0, 0, 0, 0)
+    assert (media.decode(head + palette + rows.tobytes()) == samples * 15).all()
