@@ -10,14 +10,20 @@ themselves; short or middling blocks stay open. Pass two gives every open block
 the label of its nearest decided neighbours. Text outside the article is dropped
 where the article outweighs it.
 
+Where a page has next to none of the listed stop words (other languages, other
+scripts), sentence marks stand in for them.
+
 A null page is empty and gives an empty text. Pages are handled one by one, so
-repeated rows and ids need nothing special; other columns pass through.
+repeated rows and ids need nothing special; other columns pass through, but those
+called text and n_chars. Time grows in proportion to the page, whatever its tags. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.quality_model import STOP_WORDS
+from lodeweave.llm.storage import ref
 
 #: Elements that begin and end a block.
 BLOCK = frozenset(
@@ -35,7 +42,9 @@ BLOCK = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; none of it is text of the page.
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object canvas audio video".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template".split())
+#: Elements whose content is skipped where they are closed before the next of their kind begins; else the tag alone is.
+EMBEDDED = frozenset("svg math object canvas audio video".split())
 #: Elements that are never article text.
 NEVER = frozenset("nav footer aside form button select option menu dialog fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
@@ -54,6 +63,8 @@ _REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_MARK = re.compile(r"[.,;:!?…。、，！？．；،؟۔।]")
+_IDEOGRAPH = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
 
 
 @dataclass
@@ -64,6 +75,7 @@ class Block:
     article: bool
     never: bool
     part: int = 0
+    dense: float = 0.0
 
 
 @dataclass
@@ -78,6 +90,25 @@ class Part:
     articles: int = 0  # and in articles that begin in the part
 
 
+class _Tags:
+    """Places of one element's tags in a page; each is searched for once, from left to right."""
+
+    def __init__(self, page: str, name: str):
+        self.page, self.at = page, {}
+        self.tags = {closing: re.compile(f"<{'/' if closing else ''}{name}(?=[\\s/>])", re.I) for closing in (False, True)}
+
+    def _next(self, closing: bool, at: int) -> int:
+        if self.at.get(closing, -1) < at:
+            found = self.tags[closing].search(self.page, at)
+            self.at[closing] = found.start() if found else len(self.page)
+        return self.at[closing]
+
+    def shut(self, at: int) -> int:
+        """Where the element that begins before ``at`` is closed; -1 if another begins first, or it never is."""
+        end = self._next(True, at)
+        return end if end < min(self._next(False, at), len(self.page)) else -1
+
+
 def _hinted(attributes: str, in_article: bool) -> bool | None:
     """Whether a hint in a class or id is more than a modifier; None without hints."""
     firm = None
@@ -116,6 +147,8 @@ def blocks(page: str) -> list[Block]:
     never = article = links = link_chars = 0
     heading = ""
     at, end = 0, len(page)
+    opened: Counter = Counter()  # how often each name stands in the stack
+    embedded = {name: _Tags(page, name) for name in EMBEDDED}
 
     def close() -> None:
         nonlocal link_chars
@@ -167,15 +200,18 @@ def blocks(page: str) -> list[Block]:
                 heading = ""
             if name == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for _, bad, good, _ in stack[i:]:
-                        never -= bad
-                        article -= good
-                    part = stack[i][3]
-                    del stack[i:]
+            while opened[name]:  # what is closed with it is gone for good, so each element is met once
+                last, bad, good, part = stack.pop()
+                opened[last] -= 1
+                never -= bad
+                article -= good
+                if last == name:
                     break
             continue
+        if name in EMBEDDED:
+            shut = -1 if attributes.endswith("/") else embedded[name].shut(at)
+            at = at if shut < 0 else shut
+            continue
         if name in RAW:
             if not attributes.endswith("/"):
                 shut = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
@@ -196,12 +232,14 @@ def blocks(page: str) -> list[Block]:
             firm = None if name in ("html", "main") or (good and not article) else _hinted(attributes, article > 0)
             if name not in ("p", "li", "dd", "dt", "option", "tr", "td", "th") or bad or firm is not None:  # these may go unclosed
                 stack.append((name, bad, good, part))
+                opened[name] += 1
                 if firm is not None:
                     parts.append(Part(part, firm, article > 0))
                     part = len(parts) - 1
                 never += bad
                 article += good
     close()
+    _measure(out)
     if len(parts) > 1:
         stands = _standing(out, parts)
         for b in out:
@@ -246,22 +284,36 @@ def _standing(found: list[Block], parts: list[Part], least: int = 500, times: in
     return stands
 
 
-def stop_density(text: str) -> float:
-    found = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+def _size(text: str) -> int:
+    """Characters, an ideograph or syllable sign as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_IDEOGRAPH.findall(text))
+
+
+def _measure(found: list[Block], short: int = 70, least: float = 0.03, marks: float = 1 / 60) -> None:
+    """Each block's stop-word density; on a page that has next to none of the words listed, by its sentence marks."""
+    total = hits = 0
+    open_ = [b for b in found if not b.never and _size(b.text) >= short and b.link_chars <= 0.5 * len(b.text)]
+    for b in open_:
+        words = _WORD.findall(b.text.lower())
+        n = sum(w in STOP_WORDS for w in words)
+        total, hits = total + len(words), hits + n
+        b.dense = n / len(words) if words else 0.0
+    if hits < least * total:
+        for b in open_:
+            b.dense = 0.12 * len(_MARK.findall(b.text)) / (marks * _size(b.text))
 
 
 def first_pass(block: Block, short: int = 70, long: int = 200) -> str:
     """good, bad, near (open, likely good) or short (open)."""
     if block.never:
         return "bad"
-    size = len(block.text)
-    linked = block.link_chars / size
+    size = _size(block.text)
+    linked = block.link_chars / len(block.text)
     if linked > 0.5:
         return "bad"
     if size < short:
         return "bad" if linked > 0.25 else "short"
-    dense = stop_density(block.text)
+    dense = block.dense
     if dense >= 0.12:
         return "good" if size >= long or block.article else "near"
     if dense >= 0.05 or block.article:
@@ -325,8 +377,10 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
-            columns = [*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.record_batch(columns, [*names, "text", "n_chars"])
+            columns = [*(batch.column(p) for p in plain), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.record_batch(columns, [*plain, "text", "n_chars"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "text string, n_chars long"])
-    return pages.select(*names, F.col("html")).mapInArrow(run, schema)
+    plain = [f"key{i}" for i in range(len(names))]  # Arrow functions do not take names with dots
+    schema = ", ".join([*(f"{p} {f.dataType.simpleString()}" for p, f in zip(plain, keys)), "text string, n_chars long"])
+    rows = pages.select(*[F.col(ref(n)).alias(p) for n, p in zip(names, plain)], F.col("html"))
+    return rows.mapInArrow(run, schema).toDF(*names, "text", "n_chars")

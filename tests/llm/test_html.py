@@ -65,12 +65,82 @@ def test_teaser_in_an_article_beside_the_page_text():
     assert main_text(f"<p>{LONG * 2}</p><article><p>{LONG * 3}</p></article>") == (LONG * 3).strip()
 
 
+def test_common_theme_classes_keep_the_article():
+    body = f"<h1>Head</h1><p>{LONG * 2}</p><p>{LONG * 3}</p>"
+    want = f"Head\n{(LONG * 2).strip()}\n{(LONG * 3).strip()}"
+    for page in (
+        f'<div class="layout no-sidebar"><article>{body}</article></div>', f'<article class="post comments-open">{body}</article>',
+        f'<article class="hentry tag-related">{body}</article>', f'<main class="with-sidebar">{body}</main>',
+        f'<div class="page has-cookie-banner">{body}</div>', f'<article id="post-1" class="social-science">{body}</article>',
+    ):
+        assert main_text(page) == want, page
+
+
+def test_unmatched_tags_take_linear_time():
+    began = time.time()
+    main_text("<div>" * 60_000 + "</b>" * 60_000 + "</span>" * 60_000)
+    main_text("<div><section>" * 30_000 + "</nav>" * 100_000)
+    main_text("<svg><video>" * 60_000)
+    main_text("<svg></svg><object><canvas></canvas>" * 30_000)
+    assert time.time() - began < 8
+
+
+def test_embedded_elements():
+    tail = f"<p>{LONG * 2}</p>"
+    for name in ("svg", "object", "video", "audio", "canvas", "math"):
+        assert main_text(f"<article><p>{LONG}<{name} width=1><text>drawn</text></{name}></p>{tail}</article>").split("\n") == [LONG.strip(), (LONG * 2).strip()]
+        assert (LONG * 2).strip() in main_text(f"<article><p>{LONG}</p><{name}>{tail}</article>")
+        assert (LONG * 2).strip() in main_text(f"<article><p>{LONG}</p><{name}>{tail}<{name}>x</{name}></article>")
+
+
+def test_texts_without_listed_words():
+    japanese = "これは長い文章であり、記事の本文として書かれている。読者はこの内容を楽しみ、次の段落へ進むことができる。" * 3
+    polish = "Wczoraj wieczorem dzieci poszły nad rzekę, gdzie długo patrzyły, jak słońce zachodzi. Potem wróciły, zmęczone, ale szczęśliwe. " * 3
+    menu = "".join(f"<li><a href=/{i}>項目{i}</a></li>" for i in range(30))
+    for text in (japanese, polish):
+        assert main_text(f"<body><ul>{menu}</ul><div><p>{text}</p><p>{text}</p></div><p>{'nic ' * 60}</p></body>").split("\n")[:2] == [text.strip()] * 2
+
+
+def test_passes_by_brute_force():
+    """Both passes against their rules read one block at a time, on random pages of plain blocks."""
+    import random
+
+    from lodeweave.llm.html_text import blocks, first_pass, second_pass
+
+    rng = random.Random(5)
+    kinds = {
+        "good": LONG * 2, "near": LONG[:100], "short": "A few words.", "bad": "zz qq vv " * 12, "link": f"<a href=/>{LONG}</a>",
+    }
+    for _ in range(200):
+        chosen = [rng.choice(list(kinds)) for _ in range(rng.randint(1, 12))]
+        found = blocks("".join(f"<div>{kinds[k]}</div>" for k in chosen))
+        want = ["bad" if k == "link" else k for k in chosen]
+        if "good" not in chosen and "near" not in chosen:
+            continue  # next to no listed words: other rules
+        assert [first_pass(b) for b in found] == want
+        kept = []
+        for i, label in enumerate(want):
+            decided = sorted((abs(i - j), j, want[j] == "good") for j in range(len(want)) if want[j] in ("good", "bad"))
+            before = next((x for x in decided if x[1] < i), None)
+            after = next((x for x in decided if x[1] > i), None)
+            if label in ("good", "bad"):
+                kept.append(label == "good")
+            elif before is None and after is None:
+                kept.append(label == "near")
+            elif before is None or after is None or before[0] != after[0]:
+                kept.append(min(x for x in (before, after) if x is not None)[2])
+            else:
+                kept.append(before[2] if before[2] == after[2] else label == "near")
+        assert second_pass(found, want) == kept
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article>a</article>", "own"), (1, "u", "<article>a</article>", "own"), (2, None, None, "own"), (None, "v", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted(map(tuple, extract(df).collect()), key=str)
     assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0), (None, "v", "", 0)], key=str)
     assert extract(df.limit(0)).count() == 0
+    assert extract(df.withColumnRenamed("text", "a.b")).where("page_id = 2").collect()[0]["a.b"] == "own"
 
 
 def test_all_of_the_article(spark, sf_dir):
