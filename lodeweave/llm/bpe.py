@@ -5,7 +5,8 @@ and no pre-token holds a break between two ordinary words. So a text's ids are
 the ids of its space-separated pieces, one after the other. Arrow splits a batch
 and numbers its distinct pieces, the library encodes each distinct piece once,
 and numpy gathers the ids of every text. Texts whose spacing could join two
-pieces (runs of blanks, tabs, other white space) go to the library whole.
+pieces (runs of blanks, tabs, other white space), and texts that hold the string
+of a special token, go to the library whole, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class PieceEncoder:
     (about 150 bytes each); it changes speed only.
     """
 
-    def __init__(self, path: str, spaced: bool, memo_entries: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, memo_entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,6 +42,9 @@ class PieceEncoder:
         self.spaced = spaced
         special = [(t.content, i) for i, t in self.plain.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1]
+        self.special = [content.lower() for content, _ in special]
+        normalizer = self.plain.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self.running = self.plain
         plan = json.loads(self.plain.to_str())
         if plan["normalizer"] is not None:  # for text that is its own normal form
@@ -122,7 +126,7 @@ class PieceEncoder:
         if text.count("<|") != len(pieces) - 1:  # a piece holds the text of a special token
             each = [self.encode_whole(p) for p in pieces]
             return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
-        ids = self._ids(self.plain, text, marks=True)
+        ids = self._ids(self.plain, text)
         ends = np.concatenate((np.flatnonzero(ids == self.mark_id), [len(ids)]))
         return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
 
@@ -130,9 +134,7 @@ class PieceEncoder:
         return self._ids(self.plain, text)
 
     @staticmethod
-    def _ids(tokenizer, text: str, marks: bool = False) -> np.ndarray:
-        """Ids of a text, in which the strings of special tokens are ordinary text unless they are ``marks``."""
-        tokenizer.encode_special_tokens = not marks
+    def _ids(tokenizer, text: str) -> np.ndarray:
         return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +142,10 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if self.spaced:
             lines = pc.replace_substring(texts, "\n", " \n ")
-        else:  # lower case is the normalizer's, and fewer pieces differ
-            lines = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        else:
+            lines = pc.replace_substring(texts, "\n", " ")
+            if self.lowers:  # the normalizer would, and fewer pieces differ
+                lines = pc.ascii_lower(lines)
         parts = pc.split_pattern(lines, " ")
         starts = np.asarray(parts.offsets)
         starts = starts - starts[0]
@@ -149,6 +153,14 @@ class PieceEncoder:
         words, index = coded.dictionary.to_pylist(), np.asarray(coded.indices)
         n = len(texts)
         whole = np.zeros(n, bool)
+        for content in self.special:  # in any case: pieces may be in lower case already
+            whole |= np.asarray(pc.match_substring(lines, content, ignore_case=True))
+        if whole.any() and not self.spaced:
+            keep = ~np.repeat(whole, np.diff(starts))
+            counts = np.where(whole, 0, np.diff(starts))
+            index, starts = index[keep], np.concatenate(([0], np.cumsum(counts)))
+            used, index = np.unique(index, return_inverse=True)
+            words = [words[k] for k in used.tolist()]
         if self.spaced:
             bad = np.asarray(pc.or_(pc.match_substring_regex(coded.dictionary, _ODD), pc.equal(coded.dictionary, "")))
             rows = np.repeat(np.arange(n), np.diff(starts))
@@ -187,14 +199,16 @@ class PieceEncoder:
         return out, offsets
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``rows``: the more texts at once, the fewer pieces are looked up twice."""
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``, or ``size`` bytes: the more texts at once, the fewer pieces are looked up twice."""
     held: list[pa.RecordBatch] = []
+    n = bytes_ = 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        n, bytes_ = n + batch.num_rows, bytes_ + batch.nbytes
+        if n >= rows or bytes_ >= size:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+            held, n, bytes_ = [], 0, 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 

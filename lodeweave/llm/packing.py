@@ -9,7 +9,9 @@ each epoch an island's elite migrates to the next island of its block. Islands
 are rows of their own, so they run wherever there is a core.
 
 Nulls: a null text is an empty document, which still has its end token. Repeated
-rows are packed one by one. An empty table gives no pieces.
+rows are packed one by one. A text of any length is cut; texts are encoded in batches
+of bounded bytes. Columns but doc_id and text are not read, whatever their names. An
+empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ The last byte is a line feed: Spark's text writer, which commits the files on an
 Hadoop store, puts it there.
 
 Nulls: a null text is an empty document; a null id is kept and sorts first.
-Repeated ids are ordered by a hash of the text. An empty table gives no documents.
+Repeated ids are ordered by a hash of the text. A text of any length is one frame, and
+texts are encoded in batches of bounded bytes. Columns but doc_id and text are not
+read, whatever their names. An empty table gives no documents.
 """
 
 from __future__ import annotations
@@ -110,8 +112,13 @@ def write_token_files(
     writer.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
-def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """One row per stored document: ROWS, and ``ids`` if asked for. Every checksum is checked."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = False, wanted: Iterable[int] | None = None) -> DataFrame:
+    """One row per stored document: ROWS, and ``ids`` if asked for. Every checksum is checked.
+
+    With ``wanted`` (doc_ids), the other documents' frames are not decompressed and have no row; sizes before them
+    come from the seek table. Spark's binary source has no ranges, so the files' bytes are read either way.
+    """
+    asked = None if wanted is None else np.array(sorted(set(wanted)), np.int64)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,20 +126,21 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 file = pa.BufferReader(content.as_buffer())
                 part, number, table = read_table(file)
                 sizes, sums, ids = [], [], []
-                for _, x in read_documents(file):
+                places = np.arange(len(table)) if asked is None else np.flatnonzero(np.isin(table["doc_id"], asked) & (table["known"] == 1))
+                for _, x in read_documents(file, places.tolist()):
                     sizes.append(len(x))
                     sums.append(zlib.crc32(x))
                     if with_ids:
                         ids.append(x.astype(np.int32))
-                n, sizes = len(table), np.array(sizes, np.int64)
+                n, before = len(places), np.cumsum(table["raw"], dtype=np.int64) - table["raw"]
                 columns = [
                     pa.array(np.full(n, part, np.int32)),
                     pa.array(np.full(n, number, np.int32)),
-                    pa.array(np.arange(n)),
-                    pa.array(table["doc_id"].astype(np.int64), mask=table["known"] == 0),
-                    pa.array(sizes),
+                    pa.array(places),
+                    pa.array(table["doc_id"][places].astype(np.int64), mask=table["known"][places] == 0),
+                    pa.array(sizes, pa.int64()),
                     pa.array(sums, pa.int64()),
-                    pa.array(np.cumsum(sizes) - sizes),
+                    pa.array(before[places] // 4),
                 ]
                 names = [x.split()[0] for x in ROWS.split(", ")]
                 if with_ids:

@@ -25,14 +25,16 @@ def coder(path):
 
 
 def plain(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    """The library as it comes: the strings of special tokens are special tokens."""
+    return Tokenizer.from_file(path)
+
+
+SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "\n", "a", "b c", "  ", "<|endoftext|", "É"]), max_size=6).map("".join)
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(alphabet="abÀéß'sIİ. ,!\n\t ́ñ1|<>", max_size=40)), max_size=6))
+@given(texts=st.lists(st.one_of(st.none(), SPECIAL, st.text(max_size=40), st.text(alphabet="abÀéß'sIİ. ,!\n\t ́ñ1|<>", max_size=40)), max_size=6))
 def test_pieces_encode_like_the_library(path, texts):
     ids, offsets = coder(path).encode(pa.array(texts, pa.string()))
     for i, text in enumerate(texts):
@@ -144,3 +146,36 @@ def test_cut(n):
     parts = packing.cut(n, 256)
     assert [s for s, _ in parts] == [sum(k for _, k in parts[:i]) for i in range(len(parts))]
     assert sum(k for _, k in parts) == n and all(k == 256 for _, k in parts[1:]) and 1 <= parts[0][1] <= 256
+
+
+def test_batches_are_bounded_in_bytes():
+    from lodeweave.llm.bpe import regrouped
+
+    batches = [pa.record_batch([pa.array([i]), pa.array(["x" * (3 << 20)])], ["a", "t"]) for i in range(10)] + [pa.record_batch([pa.array([i]), pa.array(["y"])], ["a", "t"]) for i in range(9000)]
+    got = list(regrouped(iter(batches)))
+    assert sum(b.num_rows for b in got) == 9010 and [x for b in got for x in b.column(0).to_pylist()] == [*range(10), *range(9000)]
+    assert all(b.nbytes <= 12 << 20 for b in got) and max(b.num_rows for b in got) <= 4096 + 3
+
+
+def test_reader_of_wanted_documents(spark, small):
+    path = new_path(spark, "test-files")
+    token_files.write_token_files(small, path, WORD, 1, file_bytes=4096)
+    columns = ["doc_id", "n_tokens", "ids_crc32", "part", "file", "place", "file_start"]
+    rows = {r["doc_id"]: tuple(r) for r in token_files.read_token_files(spark, path).select(columns).collect()}
+    got = token_files.read_token_files(spark, path, wanted=[3, 77, 10**9]).select(columns).collect()
+    assert sorted(map(tuple, got)) == [rows[3], rows[77]]
+
+
+def test_search_beats_best_fit():
+    """Triplets that fill a bin exactly, one of them over half: best-fit decreasing leaves gaps that the search closes."""
+    import random
+
+    rng, capacity, sizes = random.Random(4), 1000, []
+    for _ in range(24):
+        a = rng.randint(380, 490)
+        b = rng.randint(220, 300)
+        sizes += [a, b, capacity - a - b]
+    plain_ = len(packing.best_fit(sorted(sizes, reverse=True), capacity))
+    found = packing.evolve(sizes, capacity, [], population=24, generations=3000, rng=random.Random(1))
+    assert sorted(x for b in found for x in b) == sorted(sizes) and all(sum(b) <= capacity for b in found)
+    assert 24 <= len(found) < plain_
