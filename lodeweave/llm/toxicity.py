@@ -1,9 +1,11 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Voters are lexicons (given insults, plain and obfuscated; words and word beginnings
-that training shows to be far commoner in toxic texts, dealt to several lists)
-and patterns (insults near a pronoun of address, their density, the balance of
-evidence over all words). Each votes toxic, not toxic, or abstains. The label
+that training shows to be far commoner in toxic texts, dealt to several lists;
+those that are somewhat commoner, which count where a text has more of them than
+chance brings) and patterns (insults near a pronoun of address, their density, the
+balance of evidence over all words). Each votes toxic, not toxic, or abstains; the
+annotators are one more voter, believed to be right mostly. The label
 model has a latent class and lets each voter depend on the class and on the one
 other voter it is most correlated with (a tree); expectation maximisation fits
 it to the votes. Its posterior labels train a logistic classifier on the voters'
@@ -11,10 +13,14 @@ counts, which scores every text.
 
 Training uses the labelled rows that the caller passes, thinned by a hash of the
 id to about ``max_rows`` documents; that bounds all that comes to the driver.
-Lexicons have ``max_stems`` entries at most, so they may be sent to every task.
+A lexicon's entries are chosen by significance alone. Each is in one in fifty of the
+toxic training texts or more, so there are at most fifty times as many as such a
+text has on average, however large the corpus; that is the bound on what is sent to tasks.
 
 Null and empty texts have no words; they get the score of a text without any
 vote. Repeated rows are scored alike. Without labels the given insults decide.
+Columns but doc_id and text are not read, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ _LEET = str.maketrans("013457@$!|", "oieastasil")
 _TRIM = re.compile(r"^[^\w$@]+|\W+$")
 _TWICE = re.compile(r"(.)\1{2,}")
 
-COUNTS = ["insults", "hidden", *[f"words{i}" for i in range(LISTS)], *[f"stems{i}" for i in range(LISTS)], "near", "shouted", "evidence", "n_words"]
+COUNTS = ["insults", "hidden", *[f"words{i}" for i in range(LISTS)], *[f"stems{i}" for i in range(LISTS)], "near", "shouted", "evidence", "weak", "excess", "n_words"]
 
 
 def bare(word: str) -> str:
@@ -78,10 +84,10 @@ def log_lift(a: int, b: int, n1: int, n0: int) -> tuple[float, float]:
 
 
 class Lexicon:
-    """Stems with their log odds, dealt to lists by a checksum."""
+    """Stems with their log odds, dealt to lists by a checksum; ``weak`` ones, and how often a word of a clean and of a toxic text has one."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], weak: frozenset[str] = frozenset(), rates: tuple[float, float] = (1e-3, 1e-2)):
+        self.weights, self.weak, self.rates = weights, weak, rates
         self.lists = {s: zlib.crc32(s.encode()) % LISTS for s in weights}
 
     def counts(self, found: Words) -> np.ndarray:
@@ -106,9 +112,12 @@ class Lexicon:
                     per[at[f"{kind}{self.lists[s]}"], k] = 1
                     evidence, hit = max(evidence, w), True
             per[at["evidence"], k] = evidence
+            per[at["weak"], k] = not hit and any(s in self.weak for s in stems(word))
             per[at["shouted"], k] = hit and raw.upper() == raw and any(c.isalpha() for c in raw)
         out = np.column_stack([found.per_row(p) for p in per]) if len(found.distinct) else np.zeros((found.n_rows, len(COUNTS)))
         out[:, at["n_words"]] = found.counts()
+        low, high = self.rates  # log likelihood ratio of the weak stems met, as chance would bring them to a toxic and to a clean text
+        out[:, at["excess"]] = out[:, at["weak"]] * math.log(high / low) - out[:, at["n_words"]] * (high - low)
         if len(found.index):  # a listed word within three words of a pronoun of address
             listed = (per[at["evidence"]] + per[at["insults"]])[found.index] > 0
             near = np.zeros(len(listed), bool)
@@ -126,26 +135,37 @@ def votes(counts: np.ndarray) -> np.ndarray:
     c = dict(zip(COUNTS, counts.T))
     n = np.maximum(c["n_words"], 1)
     any_ = c["insults"] + c["hidden"] + sum(c[f"words{i}"] + c[f"stems{i}"] for i in range(LISTS))
-    clear = (any_ == 0) & (c["n_words"] >= 20)
+    quiet = (c["excess"] < 3) | (c["weak"] < 2)
+    clear = (any_ == 0) & (c["n_words"] >= 20) & quiet
+    backed = (any_ >= 2) | (c["insults"] > 0)  # one learnt word or beginning alone may be chance
     ballots = [np.where(c["insults"] > 0, 2, np.where(clear, 0, 1)), np.where(c["hidden"] > 0, 2, 1)]
-    ballots += [np.where(c[f"{kind}{i}"] > 0, 2, 1) for kind in ("words", "stems") for i in range(LISTS)]
-    ballots += [np.where(c["near"] > 0, 2, 1), np.where(c["shouted"] > 0, 2, 1)]
-    ballots.append(np.where(any_ / n >= 0.01, 2, np.where(any_ / n < 0.0005, 0, 1)))
-    ballots.append(np.where(c["evidence"] >= 3, 2, np.where(c["evidence"] < 0.5, 0, 1)))
+    ballots += [np.where((c[f"{kind}{i}"] > 0) & backed, 2, 1) for kind in ("words", "stems") for i in range(LISTS)]
+    ballots += [np.where((c[x] > 0) & backed, 2, 1) for x in ("near", "shouted")]
+    ballots.append(np.where((any_ / n >= 0.01) & backed, 2, np.where((any_ / n < 0.002) & quiet, 0, 1)))
+    ballots.append(np.where((c["evidence"] >= 3) & backed, 2, np.where((c["evidence"] < 0.5) & quiet, 0, 1)))
+    ballots.append(np.where(~quiet, 2, np.where(c["excess"] < -1, 0, 1)))
     return np.column_stack(ballots).astype(np.int64)
 
 
 class LabelModel:
     """Latent class with a tree of voters: P(vote | class, vote of its parent)."""
 
-    def __init__(self, prior: float, rounds: int = 25, smooth: float = 1.0):
+    def __init__(self, prior: float, rounds: int = 25, smooth: float = 1.0, trusted: tuple[int, ...] = (), trust: float = 0.998, belief: float = 4.0):
+        """``trusted`` voters are believed to be right with chance ``trust``, with the weight of ``belief`` times the rows."""
         self.prior, self.rounds, self.smooth = prior, rounds, smooth
+        self.trusted, self.trust, self.belief = trusted, trust, belief
 
     def _fit_tables(self, v: np.ndarray, n: np.ndarray, p: np.ndarray) -> None:
         self.tables = []
         for i, parent in enumerate(self.parents):
             up = v[:, parent] if parent >= 0 else np.zeros(len(v), np.int64)
             table = np.full((2, 3, 3), self.smooth)
+            if i in self.trusted:
+                weight = self.belief * n.sum()
+                for c, vote in ((1, 2), (0, 0)):
+                    share = weight * (self.prior if c else 1 - self.prior)
+                    table[c, :, vote] += share * self.trust
+                    table[c, :, 2 - vote] += share * (1 - self.trust)
             np.add.at(table, (1, up, v[:, i]), n * p)
             np.add.at(table, (0, up, v[:, i]), n * (1 - p))
             self.tables.append(table / table.sum(2, keepdims=True))
@@ -206,12 +226,13 @@ class LabelModel:
 def inputs(counts: np.ndarray) -> np.ndarray:
     """The classifier's inputs: voters' counts and rates on log scales, and a constant."""
     n = np.maximum(counts[:, -1:], 1)
-    hits = counts[:, :-1]
+    hits, excess = counts[:, :-2], np.clip(counts[:, -2:-1], 0, 10)
+    more = (excess >= 3) & (counts[:, [COUNTS.index("weak")]] >= 2)
     given = hits[:, :2].sum(1)
     learnt = hits[:, 2 : 2 + 2 * LISTS]
-    sums = np.column_stack([given, learnt[:, :LISTS].sum(1), learnt[:, LISTS:].sum(1), hits[:, -1]])
+    sums = np.column_stack([given, learnt[:, :LISTS].sum(1), learnt[:, LISTS:].sum(1), hits[:, COUNTS.index("evidence")]])
     rates = np.column_stack([np.minimum(100 * sums / n, 10), np.minimum(sums, 10), sums >= 1, sums >= 2, sums >= 4])
-    return np.column_stack([np.log1p(hits), np.log1p(1000 * hits / n), rates, np.log1p(n), np.ones(len(counts))])
+    return np.column_stack([np.log1p(hits), np.log1p(1000 * hits / n), rates, excess * more, 4 * more, np.log1p(n), np.ones(len(counts))])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -255,7 +276,7 @@ def _stem_counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, max_stems: int = 20_000, fit_tasks: int = 24) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, fit_tasks: int = 24) -> Model:
     """docs: doc_id, text. labels: doc_id, label (1 toxic, 0 not)."""
     given = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     known = given.count()
@@ -274,16 +295,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, max_stems: i
         weights[0], weights[1], weights[-1] = 4.0, 4.0, -2.5  # an insult decides
         return Model(lexicon, weights)
     chosen: dict[str, float] = {}
+    weak: set[str] = set()
     if n1 and n0:
         least = max(5, 0.02 * n1)
-        common = _stem_counts(rows.where("label = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(max_stems)
-        toxic = dict(common.collect())
+        toxic = dict(_stem_counts(rows.where("label = 1"), None).where(F.col("n") >= least).collect())  # at most fifty times a text's own
         other = dict(_stem_counts(rows.where("label = 0"), frozenset(toxic)).collect())
         for stem, a in toxic.items():
             odds, sure = log_lift(a, other.get(stem, 0), n1, n0)
             if odds >= math.log(20) and sure >= math.log(6):
                 chosen[stem] = odds
-    lexicon = Lexicon(chosen)
+            elif odds >= math.log(5) and sure >= math.log(2.5) and stem not in ADDRESS:
+                weak.add(stem)
+    lexicon = Lexicon(chosen, frozenset(weak))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,10 +315,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, max_stems: i
 
     raw = rows.mapInArrow(count, "c binary, label int").collect()  # about max_rows rows of fixed size
     counts = np.frombuffer(b"".join(r["c"] for r in raw), np.float32).reshape(-1, len(COUNTS)).astype(np.float64)
-    ballots = votes(counts)
     given_labels = np.fromiter((r["label"] for r in raw), np.int64, len(raw))
+    at = {c: i for i, c in enumerate(COUNTS)}
+    rate = lambda label: (counts[given_labels == label, at["weak"]].sum() + 0.5) / (counts[given_labels == label, at["n_words"]].sum() + 100)
+    if weak and rate(1) > 1.5 * rate(0):
+        lexicon.rates = (rate(0), rate(1))
+    low, high = lexicon.rates
+    counts[:, at["excess"]] = counts[:, at["weak"]] * math.log(high / low) - counts[:, at["n_words"]] * (high - low)
+    ballots = votes(counts)
     ballots = np.column_stack([ballots, 2 * given_labels])  # the annotators are one more voter
-    label_model = LabelModel(prior=max(0.01, n1 / (n0 + n1))).fit(ballots)
+    label_model = LabelModel(prior=max(0.01, n1 / (n0 + n1)), trusted=(ballots.shape[1] - 1,)).fit(ballots)
     return Model(lexicon, logistic(inputs(counts), label_model.posterior(ballots)))
 
 

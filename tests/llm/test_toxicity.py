@@ -72,3 +72,25 @@ def test_label_model_with_correlated_voters():
     label = model.posterior(ballots) > 0.5
     assert (label == y).mean() >= 0.9
     assert model.accuracy(ballots)[2] == pytest.approx(0.85, abs=0.08)
+
+
+def test_label_model_by_brute_force():
+    """Posteriors from the tables, one row and voter at a time."""
+    rng = np.random.default_rng(2)
+    truth = rng.random(400) < 0.2
+    ballots = np.column_stack([np.where(rng.random(400) < right, 2 * truth, 1) for right in (0.9, 0.7, 0.5)] + [np.where(rng.random(400) < 0.97, 2 * truth, 2 - 2 * truth)])
+    model = toxicity.LabelModel(prior=0.2, trusted=(3,)).fit(ballots)
+    for row, got in zip(ballots[:50], model.posterior(ballots[:50])):
+        weight = [1 - model.prior, model.prior]
+        for i, parent in enumerate(model.parents):
+            for c in (0, 1):
+                weight[c] *= model.tables[i][c, row[parent] if parent >= 0 else 0, row[i]]
+        assert abs(got - weight[1] / sum(weight)) < 1e-9
+    assert ((model.posterior(ballots) > 0.5) == truth).mean() > 0.95
+
+
+def test_a_learnt_beginning_alone_is_no_vote():
+    lexicon = toxicity.Lexicon({"réeu*": 4.0}, frozenset({"boco*"}), (1e-4, 1e-2))
+    texts = ["réeuxan " + "mot " * 60, "réeuxan réeuxon " + "mot " * 60, "bocoes " + "mot " * 60, "bocoes bocoor " + "mot " * 60, "mot " * 60]
+    got = toxicity.votes(lexicon.counts(toxicity.words(pa.array(texts))))
+    assert [bool((v == 2).any()) for v in got] == [False, True, False, True, False]
