@@ -74,17 +74,17 @@ _NAMED = r"(?i:token|secret|password|passwd|api_key|apikey)(?: = |=|: |:)\""
 #: Kind -> pattern, in the order in which they are tried at a place. A host has at most 126 labels.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,124}\.[A-Za-z]{2,63}",
-    "secret": rf"(?<![A-Za-z0-9])(?:{_KEYS})(?![A-Za-z0-9])|(?<={_NAMED})[^\"\s]{{8,}}+(?=\")",
+    "secret": rf"(?<![A-Za-z0-9])(?:{_KEYS})(?![A-Za-z0-9])|(?<=\")(?<={_NAMED})[^\"\s]{{8,}}+(?=\")",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "person": rf"(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_NAME}(?: {_NAME}){{0,2}}|(?<!\p{{L}})(?=\p{{Lu}})(?:{_GIVEN})(?: {_NAME}){{1,2}}",
+    "person": rf"(?=\p{{Lu}})(?<= )(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_NAME}(?: {_NAME}){{0,2}}|(?=\p{{Lu}})(?<!\p{{L}})(?:{_GIVEN})(?: {_NAME}){{1,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these holds no entity; most texts stop here. Of the patterns only secrets and persons need neither digit nor "@".
-HINT = rf"[0-9@]|(?<![A-Za-z0-9])(?:{_KEYS})|{_NAMED}[^\"\s]{{8}}|(?<!\p{{L}})(?:(?:{_TITLE})\.?|(?=\p{{Lu}})(?:{_GIVEN})) (?:[OD]['’])?\p{{Lu}}"
+HINT = rf"[0-9@]|(?=[a-fA-Fspgx])(?<![A-Za-z0-9])(?:{_KEYS})|(?=[tspaTSPA]){_NAMED}[^\"\s]{{8}}|(?=[\p{{Lu}}гκ])(?<!\p{{L}})(?:(?:{_TITLE})\.?|{_GIVEN}) (?:[OD]['’])?\p{{Lu}}"
 
 FIRST = {
     ("latin", "f"): "Alma Berta Clara Daria Elena Flora Greta Hilda Irma Julia Klara Laura Marta Nora Olga Paula Rita Sara Tilda Vera".split(),
@@ -476,18 +476,21 @@ def replace_entities(docs: DataFrame, key: str, kinds: str | None = "pii_kinds")
     def finished(rows_: DataFrame, kinds_: Column) -> DataFrame:
         return rows_.select("row.*", *([] if kinds is None else [kinds_.alias(kinds)]))
 
-    clean = finished(marked.where(F.size("found") == 0), none)
-    hit = marked.where(F.size("found") > 0).withColumn("text", F.md5("body"))
+    marked = marked.withColumn("text", F.when(F.size("found") > 0, F.md5("body")))
     # a text that introduces persons is searched again, for their names alone
     named = F.when(F.exists("found", lambda x: x.rlike(rf"^{_NAME}")), F.regexp_extract_all("body", F.lit(PATTERNS["person"]), F.lit(0)))
-    hit = hit.withColumn("words", F.array_distinct(F.flatten(F.transform(F.coalesce(named, none), lambda x: F.split(x, " ")))))
+    marked = marked.withColumn("words", F.array_distinct(F.flatten(F.transform(F.coalesce(named, none), lambda x: F.split(x, " ")))))
     again = F.array_join("words", "|")
-    pattern = F.concat(F.lit(ANY + r"|(?<!\p{L})(?=\p{Lu})(?:"), again, F.lit(r")(?!\p{L})(?: (?:"), again, F.lit(r")(?!\p{L})){0,2}"))
-    hit = hit.withColumn("pattern", F.when(F.size("words") > 0, pattern).otherwise(F.lit(ANY)))
-    hit = hit.withColumn("found", F.when(F.size("words") > 0, F.regexp_extract_all("body", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
-    hit = hit.withColumn("gaps", F.split("body", F.col("pattern"), -1)).withColumn("lead", leads(F.col("found"), F.col("gaps")))
-    blank = F.col("row").withField("text", F.lit(None).cast("string"))  # the gaps and the matches are the text
-    hit = materialize(hit.select(blank.alias("row"), "text", "found", "gaps", "lead"), "pii-hits")
+    pattern = F.concat(F.lit(ANY + r"|(?=\p{Lu})(?<!\p{L})(?:"), again, F.lit(r")(?!\p{L})(?: (?:"), again, F.lit(r")(?!\p{L})){0,2}"))
+    marked = marked.withColumn("pattern", F.when(F.size("words") > 0, pattern).otherwise(F.lit(ANY)))
+    marked = marked.withColumn("found", F.when(F.size("words") > 0, F.regexp_extract_all("body", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+    marked = marked.withColumn("gaps", F.when(F.size("found") > 0, F.split("body", F.col("pattern"), -1)))
+    marked = marked.withColumn("lead", F.when(F.size("found") > 0, leads(F.col("found"), F.col("gaps"))))
+    blank = F.when(F.size("found") > 0, F.col("row").withField("text", F.lit(None).cast("string"))).otherwise(F.col("row"))  # the gaps and the matches are the text
+    # stored whole, so that no text is searched twice
+    marked = materialize(marked.select(blank.alias("row"), "text", "found", "gaps", "lead"), "pii-rows")
+    clean = finished(marked.where(F.size("found") == 0), none)
+    hit = marked.where(F.size("found") > 0)
 
     texts = hit.groupBy("text").agg(F.first("found").alias("found"), F.first("lead").alias("leads"), F.count("*").alias("copies"))
     texts = materialize(texts, "pii-texts")
