@@ -21,7 +21,7 @@ Token ids keep 40 bits of the hash beside the bucket, so two shingles of a pair
 are confused with a chance of about one in 2 ** (40 + log2 buckets) per pair of
 shingles; class ids have 64 bits.
 
-Null, empty and wordless texts link with nothing and are their own components.
+Parts are as many as the texts' bytes need. Null, empty and wordless texts link with nothing and are their own components.
 Repeated rows and ids are kept row by row; copies are linked as one class. An
 empty table gives an empty result. Other columns of the table are not read.
 """
@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.components import components
-from lodeweave.llm.storage import materialize, partitions, release
+from lodeweave.llm.skew import spread_join
+from lodeweave.llm.storage import materialize, partitions, partitions_for, release
 from lodeweave.llm.words import words
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -288,7 +289,7 @@ def _leaders(sets: DataFrame) -> DataFrame:
     return keyed.join(best, ["slot", "key"]).where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
 
 
-def _across(sets: DataFrame, threshold: int, step: float = 1.04, members: int = 512) -> DataFrame:
+def _across(sets: DataFrame, threshold: int, step: float = 1.04, members: int = 512, queries: int = 8192) -> DataFrame:
     """Links (a, b) between classes of different groups. sets: class, n, tokens, grp.
 
     Of a pair, the smaller set asks and the larger one's group offers. Sizes are cut
@@ -331,10 +332,15 @@ def _across(sets: DataFrame, threshold: int, step: float = 1.04, members: int =
     held = open_.join(asked.select("grp", F.col("larger").alias("band")).distinct(), ["grp", "band"], "left_semi")
     sizes = held.groupBy("grp", "band").agg(F.ceil(F.count("*") / F.lit(members)).cast("int").alias("chunks"))
     held = held.join(sizes, ["grp", "band"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    held = held.select("grp", "band", "chunk", F.lit(0).alias("side"), "class", "n", "tokens")
-    asking = asked.withColumnRenamed("larger", "band").join(sizes, ["grp", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asking = asking.select("grp", "band", "chunk", F.lit(1).alias("side"), "class").join(sets.select("class", "n", "tokens").hint("merge"), "class")
-    both = held.unionByName(asking).repartition(partitions(spark), "grp", "band", "chunk").sortWithinPartitions("grp", "band", "chunk", "side")
+    # queries of a group that many ask are cut into slices too, each with a copy of the chunk
+    asking = asked.withColumnRenamed("larger", "band").join(sizes, ["grp", "band"])
+    slices = asking.groupBy("grp", "band").agg(F.ceil(F.count("*") / F.lit(queries)).cast("int").alias("slices"))
+    asking = asking.join(slices, ["grp", "band"]).withColumn("slice", F.pmod(F.xxhash64("class", F.lit("slice")), F.col("slices")).cast("int"))
+    asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asking = asking.select("grp", "band", "chunk", "slice", F.lit(1).alias("side"), "class").join(sets.select("class", "n", "tokens").hint("merge"), "class")
+    held = held.join(slices, ["grp", "band"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    held = held.select("grp", "band", "chunk", "slice", F.lit(0).alias("side"), "class", "n", "tokens")
+    both = held.unionByName(asking).repartition(partitions(spark), "grp", "band", "chunk", "slice").sortWithinPartitions("grp", "band", "chunk", "slice", "side")
     return both.mapInArrow(_open(threshold), "a long, b long")
 
 
@@ -363,7 +369,7 @@ class _Group:
 
 
 def _open(threshold: int):
-    """Task function: rows by grp, band, chunk, members before queries -> a link for each query that has one."""
+    """Task function: rows by grp, band, chunk, slice, members before queries -> a link for each query that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, None
@@ -371,13 +377,13 @@ def _open(threshold: int):
         sizes: list[int] = []
         sets: list[np.ndarray] = []
         for batch in batches:
-            column = batch.column(6)
+            column = batch.column(7)
             flat, ends = np.asarray(column.values), np.asarray(column.offsets)
             out: list[tuple[int, int]] = []
-            meta = [batch.column(i).to_pylist() for i in range(6)]
-            for i, (grp, band, chunk, side, class_, n) in enumerate(zip(*meta)):
-                if (grp, band, chunk) != key:
-                    key, group, classes, sizes, sets = (grp, band, chunk), None, [], [], []
+            meta = [batch.column(i).to_pylist() for i in range(7)]
+            for i, (grp, band, chunk, slice_, side, class_, n) in enumerate(zip(*meta)):
+                if (grp, band, chunk, slice_) != key:
+                    key, group, classes, sizes, sets = (grp, band, chunk, slice_), None, [], [], []
                 tokens = flat[ends[i] : ends[i + 1]]
                 if side == 0:
                     classes.append(class_)
@@ -399,8 +405,7 @@ def join(docs: DataFrame, size: int = 5, threshold: int = 75, hashes: int = 8, m
 
     One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reached).
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions_for(docs)  # a part is held in memory by its task
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.mapInArrow(_deal(size, parts, many, chunk), "part int, kind int, blob binary")
     met = dealt.repartitionById(parts, F.col("part")).mapInArrow(_meet(parts), "part int, kind int, blob binary")
@@ -416,8 +421,11 @@ def join(docs: DataFrame, size: int = 5, threshold: int = 75, hashes: int = 8, m
     more = materialize(_across(grouped, threshold), "links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
-    whole = listed.where("n > 0").join(groups, F.col("class") == F.col("node"), "left")
-    whole = whole.select("doc_id", "n", F.coalesce("root", "class").alias("component"))
-    first = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = whole.join(first, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # documents to classes to components, each summed first; a class of many copies, or a large component, meets in many tasks
+    classes = listed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = classes.join(groups, F.col("class") == F.col("node"), "left").select("class", "least", "copies", F.coalesce("root", "class").alias("component"))
+    classes = materialize(classes, "classes")
+    first = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "components")
+    classes = materialize(spread_join(classes, first, ["component"], "members").select("class", "copies", "component_id"), "class-components")
+    out = spread_join(listed.where("n > 0"), classes, ["class"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(listed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
