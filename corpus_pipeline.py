@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm import jaccard, mixing, packing, pii, quality_model
 from lodeweave.llm.queries import PII_KEY, vocabulary
-from lodeweave.llm.storage import bound_batches, materialize, new_path, ref, scope
+from lodeweave.llm.storage import bound_batches, materialize, new_path, ref, scope, trim
 from lodeweave.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -69,11 +69,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _prepared(stage: Stage) -> Stage:
-    """The stage, after sending the code to the executors and bounding Arrow batches."""
+    """The stage, after sending the code to the executors, bounding Arrow batches and trimming memory."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
         bound_batches(spark)
+        trim(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage

@@ -221,3 +221,8 @@ def encoder(path: str, spaced: bool) -> PieceEncoder:
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = PieceEncoder(path, spaced)
     return _ENCODERS[path, spaced]
+
+
+def forget() -> None:
+    """Give up this worker's encoders; the next task makes new ones."""
+    _ENCODERS.clear()

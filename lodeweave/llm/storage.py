@@ -96,6 +96,26 @@ def ref(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def trim(spark: SparkSession) -> None:
+    """Let executors' heaps and Python workers shrink before a stage.
+
+    A heap that one stage has grown, and what its Python workers remember, stay beside the next stage and under the
+    same limit of memory. A short wave of tasks collects garbage and forgets tokenizers; where a task
+    does not come by, an executor is merely not trimmed.
+    """
+    n = spark.sparkContext.defaultParallelism
+
+    def forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lodeweave.llm import bpe
+
+        bpe.forget()
+        release()
+        yield from batches
+
+    wave = spark.range(0, n, 1, n).mapInArrow(forget, "id long")
+    wave.selectExpr("id", "reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def release() -> None:
     """Give a Python worker's free memory back: workers outlive tasks, and the next stage needs it."""
     pa.default_memory_pool().release_unused()

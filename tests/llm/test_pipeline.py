@@ -29,10 +29,13 @@ def test_stages(spark, tables):
             bad = spark.read.parquet(f"{tables}/labels.parquet").where("quality = 0")
             assert bad.join(after, "doc_id", "left_semi").count() <= 0.2 * bad.count()
         if name == "jaccard_join":
-            rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            linked = [(i, c) for i, n, c in brute(rows) if n and i is not None]
-            assert {i for i, c in linked if i == c} == {r["doc_id"] for r in after.collect() if r["doc_id"] is not None and r["text"] and r["text"].strip()}
-            assert after.where("doc_id is not null").groupBy("doc_id", "text").count().where("count > 1 and trim(text) <> ''").count() == 0
+            rows = [(i, r["text"]) for i, r in enumerate(before.collect())]
+            linked = {c for _, n, c in brute(rows) if n}
+            components = {c: {rows[i][1] for i, n, c2 in brute(rows) if n and c2 == c} for c in linked}
+            left = [r["text"] for r in after.collect() if r["text"] and r["text"].strip()]
+            assert len(left) == len(linked) and all(sum(t in texts for t in left) == 1 for texts in components.values())
+            wordless = lambda rows_: sum(not (t and t.strip()) for t in rows_)
+            assert wordless([t for _, t in rows]) == wordless([r["text"] for r in after.collect()])
         if name == "pii":
             assert after.count() == before.count()
             assert after.where("n_chars <> length(text)").count() == 0
