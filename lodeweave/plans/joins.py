@@ -72,14 +72,16 @@ def cross(spark, sf_dir):
 
 
 _OUTER = """
-    SELECT o_orderkey, s_suppkey, o_totalprice, s_acctbal FROM (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o
-    {} JOIN (SELECT s_suppkey * 2 AS s_suppkey, s_acctbal FROM supplier) s ON o_orderkey = s_suppkey
+    SELECT o_orderkey, s_suppkey, o_totalprice, s_acctbal FROM orders
+    {} JOIN (SELECT CASE WHEN s_suppkey % 3 = 0 THEN -1 - s_suppkey ELSE s_suppkey * 2 END AS s_suppkey, s_acctbal FROM supplier) s ON o_orderkey = s_suppkey
 """
 
 
 def _outer(spark, sf_dir, how):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", "o_totalprice")
-    suppliers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("s_suppkey"), "s_acctbal")
+    """Every third supplier's key is moved below all orders, so that both sides have rows without a partner."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    moved = F.when(F.col("s_suppkey") % 3 == 0, -1 - F.col("s_suppkey")).otherwise(F.col("s_suppkey") * 2)
+    suppliers = table(spark, sf_dir, "supplier").select(moved.alias("s_suppkey"), "s_acctbal")
     return orders.join(suppliers, F.col("o_orderkey") == F.col("s_suppkey"), how).select("o_orderkey", "s_suppkey", "o_totalprice", "s_acctbal")
 
 
@@ -187,21 +189,23 @@ def correlated(spark, sf_dir):
 def containment(spark, sf_dir):
     """Benchmark items that occur whole in a document.
 
-    Word five-grams of the items meet those of the documents in an equi-join; the
-    few pairs that share an item's first five-gram are then compared exactly.
+    An item is known by one run of its inner words, up to five: the first and last word may be cut by neighbours. Hashes of
+    the documents' runs of each such length meet those of the items in an equi-join; the few pairs that share one are then
+    compared exactly. Items of less than three words have no inner word; they alone are compared with every document.
     """
     blank = r"[\x20\x09-\x0D]+"
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", blank).alias("w"))
-    long = F.size("w") >= 7
-    inner = F.concat_ws(" ", F.slice("w", 2, 5))  # the first and last word may be cut by neighbours
-    keyed = items.where(long).select("item_id", "item", inner.alias("gram"))
+    items = items.withColumn("k", F.least(F.size("w") - 2, F.lit(5)))
+    joined = lambda w, at, k: F.xxhash64(k, F.concat_ws(" ", F.slice(w, at, k)))
+    keyed = items.where("k > 0").select("item_id", "item", "k", joined("w", F.lit(2), F.col("k")).alias("gram"))
+    lengths = [r["k"] for r in keyed.select("k").distinct().collect()]  # 1 to 5
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.split("text", blank)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 5)))
-    met = docs.withColumn("w", words).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
-    pairs = met.join(keyed, "gram").select("doc_id", "item_id", "item").distinct()
-    short = items.where(~long).select("item_id", "item")
-    few = docs.join(short, F.contains("text", "item")).select("doc_id", "item_id")
+    w = F.split("text", blank)
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: joined("w", i, F.lit(k)))
+    grams = F.array_distinct(F.concat(*[of_length(k) for k in sorted(lengths)])) if lengths else F.array().cast("array<bigint>")
+    met = docs.withColumn("w", w).select("doc_id", F.explode(grams).alias("gram"))
+    pairs = met.join(keyed.select("gram", "item_id", "item"), "gram").select("doc_id", "item_id", "item").distinct()
+    few = docs.join(items.where("k <= 0").select("item_id", "item"), F.contains("text", "item")).select("doc_id", "item_id")
     return pairs.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id").unionByName(few)
 
 

@@ -143,6 +143,32 @@ def emails(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", tx.redact_emails(F.col("text")).alias("clean"))
 
 
+#: Keys of known services, long hexadecimal numbers, and quoted values behind a word for a secret.
+SECRET = r"\b(sk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,}|\b[0-9a-f]{32,}\b|(token|secret|password|api_key) ?[=:] ?\"[^\"\s]{8,}\""
+#: Lines that state a licence or a copyright.
+LICENSE = r"(?i)\b(licensed under|license|copyright|all rights reserved|spdx)\b"
+
+
+@query("tx4_secrets", f"SELECT doc_id, len(regexp_extract_all(text, '{SECRET}')) AS n, md5(regexp_replace(text, '{SECRET}', '<secret>', 'g')) AS clean FROM documents WHERE regexp_matches(text, '{SECRET}')")
+def secrets(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(SECRET)))
+    n = F.regexp_count("text", F.lit(SECRET)).cast("long")
+    return found.select("doc_id", n.alias("n"), F.md5(F.regexp_replace("text", SECRET, "<secret>")).alias("clean"))
+
+
+@query(
+    "tx4_license_lines",
+    f"""
+    SELECT line, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE regexp_matches(line, '{LICENSE}') GROUP BY line
+    """,
+)
+def license_lines(spark, sf_dir):
+    """Each line that states a licence, with how often it occurs; lines are filtered before they are shuffled."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.rlike("line", F.lit(LICENSE)))
+    return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 @query(
     "tx5_quality_by_source",
     "SELECT source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source",

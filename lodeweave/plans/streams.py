@@ -118,7 +118,7 @@ def late_data(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).parquet(inbox).withWatermark("ts", "1 hour")
     days = stream.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
     for batch in (first, rows.where("ts >= '2024-01-12'"), first.limit(50), rows.limit(0).unionByName(rows.where("ts >= '2024-01-12'").limit(1))):
-        batch.coalesce(1).write.mode("append").parquet(inbox)
+        batch.write.mode("append").parquet(inbox)
         days.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", state).format("parquet").start(out).awaitTermination()
     closed = spark.read.schema(days.schema).parquet(out)
     return closed.where("window.start < '2024-01-11'").select(_start(), "n")
