@@ -96,14 +96,15 @@ def ref(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def trim(spark: SparkSession) -> None:
-    """Let executors' heaps and Python workers shrink before a stage.
+def trim(spark: SparkSession, python: bool = True) -> None:
+    """Let executors' heaps and, with ``python``, Python workers shrink before a stage.
 
     A heap that one stage has grown, and what its Python workers remember, stay beside the next stage and under the
     same limit of memory. A short wave of tasks collects garbage and forgets tokenizers; where a task
-    does not come by, an executor is merely not trimmed.
+    does not come by, an executor is merely not trimmed. A stage of SQL functions alone goes without Python here too.
     """
     n = spark.sparkContext.defaultParallelism
+    wave = spark.range(0, n, 1, n)
 
     def forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lodeweave.llm import bpe
@@ -112,7 +113,8 @@ def trim(spark: SparkSession) -> None:
         release()
         yield from batches
 
-    wave = spark.range(0, n, 1, n).mapInArrow(forget, "id long")
+    if python:
+        wave = wave.mapInArrow(forget, "id long")
     wave.selectExpr("id", "reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 
