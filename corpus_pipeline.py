@@ -68,13 +68,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-def _prepared(stage: Stage) -> Stage:
-    """The stage, after sending the code to the executors, bounding Arrow batches and trimming memory."""
+def _prepared(stage: Stage, native: bool = False) -> Stage:
+    """The stage, after sending the code to the executors, bounding Arrow batches and trimming memory (native: no Python)."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
         bound_batches(spark)
-        trim(spark)
+        trim(spark, python=not native)
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -83,7 +83,7 @@ def _prepared(stage: Stage) -> Stage:
 STAGES = [
     ("quality_classifier", _prepared(quality)),
     ("jaccard_join", _prepared(deduplicate)),
-    ("pii", _prepared(private)),
+    ("pii", _prepared(private, native=True)),
     ("mixing", _prepared(mix)),
     ("packing", _prepared(pack)),
 ]
