@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.quality_rules import words_of
-from lodeweave.llm.storage import materialize, ref
+from lodeweave.llm.storage import materialize, partitions, ref
 
 #: What tells a row of a source.
 TOLD = ["doc_id", "mark", "twin"]
@@ -231,7 +231,7 @@ class Mix:
         counts = dict(numbered.groupBy("source_at").count().collect())  # a row per source
         quotas = np.array([counts.get(i, 0) for i in range(self.n_sources)], np.int64)
         shards = max(1, int(-(-quotas.sum() // self.blocks_per_shard))) if len(quotas) else 1
-        seed = self.seed
+        seed, self.shards = self.seed, shards
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -259,9 +259,10 @@ class Mix:
         return whole.unionByName(part).select(*columns, "twin", "copy", "shard")
 
     def shuffled(self, rows: DataFrame) -> DataFrame:
-        """The drawn rows with their place in the shard's own permutation."""
+        """The drawn rows with their place in the shard's own permutation; tasks are as many as shards, whatever the session says."""
         place = Window.partitionBy("shard").orderBy(self._order("place", F.col("shard"), self._of_row("row"), F.col("copy")), "doc_id", "mark", "twin", "copy")
-        return self.draw(rows).withColumn("place", F.row_number().over(place))
+        drawn = self.draw(rows)
+        return drawn.repartition(max(partitions(self.spark), self.shards), "shard").withColumn("place", F.row_number().over(place))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
