@@ -35,3 +35,10 @@ def test_extremes_of_rows_with_nulls(differs):
     rows = """(VALUES (NULL, 1, 1, 9.0), ('A', NULL, 2, 100.0), ('A', 2, 2, 50.0), ('A', 3, NULL, NULL), ('A', 4, NULL, 60.0), ('B', NULL, NULL, NULL),
                       ('C', 5, 1, 'nan'), ('C', 6, 1, 1e300), ('D', 7, 2, 0.0), ('D', 8, 2, '-0.0')) v(s, k, n, b)"""
     assert differs("ag11_extremes_and_mode", "customer", f"{CUSTOMER} {rows}") is None
+
+
+def test_geometric_mean_counts_values_that_have_no_logarithm(differs):
+    rows = """(VALUES ('zero', 0e0), ('zero', 5.0), ('minus zero', '-0.0'), ('minus zero', 2.0), ('negative', -1.0), ('negative', 3.0), ('both', 0.0), ('both', -2.0),
+                      ('infinite', 'inf'), ('infinite', 2.0), ('zero and infinite', 0.0), ('zero and infinite', 'inf'), ('nan', 'nan'), ('nan', 7.0),
+                      ('null', NULL), ('null and value', NULL), ('null and value', 4.0), (NULL, 8.0)) v(e, x)"""
+    assert differs("uf3_udaf", "events", f"SELECT e AS event_type, x::DOUBLE AS value FROM {rows}") is None
